@@ -31,7 +31,8 @@ HIATUS = {
 GROUPS = {"en": re.compile(r"[aeiouy]+"), "de": re.compile(r"[aeiouyäöü]+"), "fr": re.compile(r"[aeiouyàâéèêëîïôûùüœæ]+"), "es": re.compile(r"[aeiouáéíóúü]+|y\b")}
 SILENT = {"en": re.compile(r"(?:[^aeiouyl]|[aeiouy]l|[^aeiouy][^aeiouytdl])es?$|[^aeiouytd]ed$|[^aeiouy]e(?:ly|ment|ness|less|ful)$"), "fr": re.compile(r"[^aeiouyéèêà]e(?:s|nt)?$"), "de": None, "es": None}
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*(?:\s+|$)|\n\s*\n")
+#: A sentence ends at a mark before a capital or the end, but not behind a word of one or two letters, as in abbreviations.
+_SENTENCE = re.compile(r"(?<!\b[^\W\d_])(?<!\b[^\W\d_]{2})[.!?…]+[\"'”’»)\]]*(?=\s+[\"'“«¿¡(]*[A-ZÀ-ÖØ-Þ]|\s*$)|[!?]+(?=\s)|\n\s*\n")
 # Marks of speakers, of chat templates and of log lines.
 _SPEAKER = re.compile(r"(?m)^\s*(?:\[?(?:human|user|assistant|model|system|speaker|host|guest|interviewer|q|a)(?: \d+)?\]?\s*:|\[(?:human|model|user|assistant|system)\]|<\|?\w+\|?>|#{2,}\s*(?:instruction|response|input)\b|>>>? |[A-Z]\w{1,20}: )|\"role\"\s*:", re.I)
 _LOG = re.compile(r"(?m)^\s*(?:\d{4}-\d\d-\d\d|\d\d:\d\d(?::\d\d)?\b|\[?\d{1,2}:\d\d(?::\d\d)?\]?|0x[0-9a-f]{4,}|(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE)\b)|\b\w+=\d[\w.+-]*(?: \w+=[\w.+-]+){2,}")
@@ -161,21 +162,17 @@ def school_years(grades: DataFrame) -> DataFrame:
 
 
 def fit(rows: np.ndarray, years: np.ndarray) -> list[list[tuple[float, float]]]:
-    """Of each estimate the points of a rising step curve from raw value to years (pool adjacent violators, then 24 medians)."""
+    """Of each estimate the points of a rising curve from raw value to years: isotonic regression, both ends of each level."""
     curves = []
     for k in range(rows.shape[1]):
         order = np.argsort(rows[:, k], kind="stable")
-        x, y = rows[order, k], years[order]
-        cuts = np.array_split(np.arange(len(x)), min(24, max(2, len(x) // 12)))
-        points = [[float(np.median(x[c])), float(np.median(y[c])), len(c)] for c in cuts if len(c)]
-        pooled: list[list[float]] = []
-        for p in points:
-            pooled.append([p[1], p[2], 1])
-            while len(pooled) > 1 and pooled[-2][0] > pooled[-1][0]:
-                b, a = pooled.pop(), pooled.pop()
-                pooled.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
-        flat = [v for v, _, n in pooled for _ in range(n)]
-        curves.append(list(zip([p[0] for p in points], flat, strict=True)))
+        blocks: list[list[float]] = []
+        for x, y in zip(rows[order, k], years[order], strict=True):
+            blocks.append([y, 1, x, x])
+            while len(blocks) > 1 and (blocks[-2][0] >= blocks[-1][0] or blocks[-2][3] == blocks[-1][2]):
+                b, a = blocks.pop(), blocks.pop()
+                blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2], b[3]])
+        curves.append([p for v, _, x0, x1 in blocks for p in ([(x0, v)] if x0 == x1 else [(x0, v), (x1, v)])])
     return curves
 
 

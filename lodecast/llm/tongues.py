@@ -105,7 +105,7 @@ def main_language(text: str | None, least: float = 0.08, words: list[str] | None
     ranked = sorted(latin.items(), key=lambda x: (-x[1], x[0]))
     best, hits = ranked[0]
     rest = total - foreign
-    if hits < least * rest or hits < 2 or len(ranked) > 1 and ranked[1][1] > 0.8 * hits:
+    if hits < least * rest or hits < 2 or len(ranked) > 1 and ranked[1][1] > 0.9 * hits:
         return None
     return best
 
