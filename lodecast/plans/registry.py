@@ -1,6 +1,134 @@
-"""All queries of the engine and their SQL."""
+"""All queries of the engine over the test tables, and the SQL of those that SQL expresses."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodecast.functions import scoring
+from lodecast.functions import text as T
+from lodecast.operators import audit, budget, contamination, messages, metrics, pool, sampling, validation
+from lodecast.runtime import table
+from lodecast.plans.oracles import ORACLES  # noqa: F401
+from lodecast.streaming import streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+# Parameters of the queries.
+TARGET, CAP, POOL_SEED, FLOOR = 100_000, 100, 0, 0.55
+REPLICATES, BASE, TREATMENT = 1_000, "random", "diversity"
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    """Documents with text, stand-in tokens and source; the sources as stored."""
+    return table(s, d, "documents").where("text IS NOT NULL AND source IS NOT NULL").select("doc_id", "source", "lang", "text", T.token_count(F.col("text")).cast("bigint").alias("token_count"))
+
+
+def _capped(s: SparkSession, d: str) -> DataFrame:
+    return pool.capped(_docs(s, d).where("token_count > 0"), "source", "doc_id", CAP, POOL_SEED)
+
+
+def _quotas(s: SparkSession, d: str) -> DataFrame:
+    totals = _docs(s, d).groupBy("source").agg(F.sum("token_count").alias("t"))
+    return budget.largest_remainder(totals, "source", "t", TARGET)
+
+
+def _taken(s: SparkSession, d: str) -> DataFrame:
+    rows = pool.numbered(_capped(s, d).select("source", "doc_id", "token_count"), "source", pool.random_order(13, "doc_id"))
+    return budget.greedy_take(rows, "source", "doc_id", "token_count", "position", _quotas(s, d))
+
+
+def _train(s: SparkSession, d: str) -> DataFrame:
+    users = F.array_join(F.transform(F.filter("messages", lambda m: F.lower(F.trim(m["role"])) == "user"), lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
+    rows = table(s, d, "records").where("messages IS NOT NULL").select("example_id", users.alias("p")).groupBy("example_id").agg(F.first("p").alias("p"))
+    return contamination.prompts(rows, "example_id", "p", "train_id")
+
+
+def _evaluation(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "eval_items").select(F.concat_ws("/", "benchmark", "example_id").alias("i"), "prompt")
+    return contamination.prompts(rows, "i", "prompt", "eval_id")
+
+
+def _outputs(s: SparkSession, d: str) -> DataFrame:
+    return metrics.distinct_outputs(table(s, d, "eval_outputs"))
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "eval_outputs").where("response IS NOT NULL AND target IS NOT NULL").select("output_id", "benchmark", "response", "target").distinct()
+
+
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    return streams.table_stream(s, d, "events")
+
+
+def _order(kind: str) -> Query:
+    def query(s: SparkSession, d: str) -> DataFrame:
+        if kind == "diversity":
+            rows = table(s, d, "embeddings").select("vec_id", "label", F.lit("all").alias("stratum"), (F.pmod("vec_id", F.lit(7)) / 7.0).alias("score"))
+            return pool.cluster_round_robin(rows, "stratum", "label", "score", "vec_id", 13).select("vec_id", "label", "cluster_rank", "position")
+        rows = table(s, d, "records").where("example_id IS NOT NULL AND source IS NOT NULL").groupBy("example_id").agg(F.min("source").alias("source"), F.max("quality_score").alias("quality_score"))
+        if kind == "random":
+            return pool.numbered(rows, "source", pool.random_order(13, "example_id")).select("example_id", "source", "position")
+        return pool.numbered(rows.where(F.col("quality_score") >= FLOOR), "source", pool.quality_order("quality_score", "example_id")).select("example_id", "source", "position")
+
+    return query
+
+
+def _paired(s: SparkSession, d: str) -> DataFrame:
+    return metrics.paired_items(metrics.metric_rows(_outputs(s, d)), BASE, TREATMENT)
+
+
+def _quality(s: SparkSession, d: str) -> DataFrame:
+    docs = _docs(s, d)
+    return docs.select("doc_id", T.text_quality(F.col("text"), F.col("text"), F.col("token_count")).alias("quality_score"))
+
+
+def _agreement(s: SparkSession, d: str) -> DataFrame:
+    got = audit.agreement(audit.parsed_judgements(table(s, d, "judge_results")))
+    return got.select("dimension", "n", *[F.round(c, 9).alias(c) for c in ("exact", "mean_difference", "mean_a", "mean_b", "share_at_most")])
+
+
+QUERIES: dict[str, Query] = {
+    "pool_strata": lambda s, d: pool.stratum_totals(pool.first_of_equal(messages.candidate_rows(table(s, d, "records")).select("example_id", "source", "source_row", "stratum", "token_count"), "example_id", ["source", "source_row"])),
+    "doc_quality": _quality,
+    "dedup_first": lambda s, d: pool.first_of_equal(_docs(s, d).select(F.sha2("text", 256).alias("h"), "source", "doc_id"), "h", ["source", "doc_id"]),
+    "capped_pool": lambda s, d: _capped(s, d).select("source", "doc_id", "token_count"),
+    "token_quotas": _quotas,
+    "order_random": _order("random"),
+    "order_quality": _order("quality"),
+    "order_diversity": _order("diversity"),
+    "greedy_take": _taken,
+    "selection_summary": lambda s, d: _taken(s, d).join(_docs(s, d).select("doc_id", "token_count"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("token_count").alias("n_tokens")),
+    "exact_fit": lambda s, d: budget.exact_fit(_capped(s, d), _taken(s, d), "doc_id", "token_count", TARGET),
+    "exact_overlap": lambda s, d: contamination.exact_overlap(_train(s, d), _evaluation(s, d)),
+    "candidate_votes": lambda s, d: contamination.shingle_votes(_evaluation(s, d).toDF("train_id", "norm"), _evaluation(s, d)).where("train_id <> eval_id").withColumn("jaccard", F.round("jaccard", 9)),
+    "near_overlap": lambda s, d: contamination.near_overlap(_train(s, d), _evaluation(s, d)),
+    "length_buckets": lambda s, d: sampling.rank_buckets(table(s, d, "eval_items").select("benchmark", "example_id", F.length("prompt").alias("n")), "benchmark", [F.col("n"), F.col("example_id")], 4),
+    "waterfill_counts": lambda s, d: sampling.water_fill(_docs(s, d).where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang", "n", 200),
+    "sample_groups": lambda s, d: sampling.sample_groups(_docs(s, d).where("lang IS NOT NULL").select("lang", "doc_id"), "lang", "doc_id", QUERIES["waterfill_counts"](s, d), 2026),
+    "equal_per_group": lambda s, d: sampling.equal_per_group(_docs(s, d).select("source", "doc_id"), "source", "doc_id", 8, 2126),
+    "coverage_greedy": lambda s, d: sampling.coverage_greedy(table(s, d, "eval_items").where("instruction_id_list IS NOT NULL"), "example_id", "instruction_id_list", 60, 2026),
+    "audit_sample": lambda s, d: sampling.audit_sample(table(s, d, "records").where("source IS NOT NULL AND quality_score IS NOT NULL").groupBy("example_id").agg(F.min("source").alias("source"), F.max("quality_score").alias("quality_score")), "source", "quality_score", "example_id", 120, 2026),
+    "extract_number": lambda s, d: _scored(s, d).where("benchmark = 'gsm8k'").select("output_id", scoring.extract_number(F.col("response")).alias("answer"), scoring.number_match(F.col("response"), F.col("target")).alias("correct")),
+    "extract_option": lambda s, d: _scored(s, d).where("benchmark = 'bbh'").select("output_id", scoring.extract_option(F.col("response"), F.col("target")).alias("answer"), scoring.option_match(F.col("response"), F.col("target")).alias("correct")),
+    "validate_outputs": lambda s, d: validation.completeness(table(s, d, "eval_outputs"), table(s, d, "eval_items")).withColumn("mean_tokens", F.round("mean_tokens", 6)),
+    "score_unpivot": lambda s, d: metrics.metric_rows(_outputs(s, d)).select("adapter", "example_id", "benchmark", "metric", F.round("value", 9).alias("value")),
+    "metrics_seed": lambda s, d: metrics.seed_metrics(_outputs(s, d)).withColumn("value", F.round("value", 9)),
+    "metrics_strategy": lambda s, d: metrics.strategy_metrics(metrics.seed_metrics(_outputs(s, d))).select("strategy", "metric", "n_runs", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd")),
+    "group_macro_worst": lambda s, d: metrics.task_summary(metrics.metric_rows(_outputs(s, d)).where("metric = 'bbh'")).select("adapter", F.round("macro", 9).alias("macro"), F.round("worst", 9).alias("worst"), "tasks"),
+    "paired_diff": lambda s, d: _paired(s, d).withColumn("difference", F.round("difference", 9)),
+    "paired_bootstrap": lambda s, d: metrics.bootstrap(_paired(s, d), REPLICATES).select("metric", "n", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")]),
+    "sign_counts": lambda s, d: metrics.sign_counts(metrics.metric_rows(_outputs(s, d)), BASE, TREATMENT),
+    "overlap_matrix": lambda s, d: audit.overlap_matrix(table(s, d, "eval_outputs"), "adapter", "example_id"),
+    "agreement": _agreement,
+    "parse_states": lambda s, d: audit.parse_states(table(s, d, "judge_results").dropDuplicates(["audit_id"])),
+    "spearman": lambda s, d: audit.spearman(audit.parsed_judgements(table(s, d, "judge_results")), "dimension", "a", "b").withColumn("rho", F.round("rho", 9)),
+    "structural_flags": lambda s, d: messages.flag_counts(messages.structural_flags(table(s, d, "records"))),
+    "script_guess": lambda s, d: _docs(s, d).select(T.script_guess(F.col("text")).alias("script")).groupBy("script").agg(F.count(F.lit(1)).alias("n")),
+    "quality_tertiles": lambda s, d: sampling.tertile_labels(table(s, d, "records").where("quality_score IS NOT NULL").select("example_id", "quality_score"), "quality_score", "example_id").groupBy("tertile").agg(F.count(F.lit(1)).alias("n"), F.min("quality_score").alias("lo"), F.max("quality_score").alias("hi")),
+    "stream_dedup": lambda s, d: streams.drained(streams.dedup(_stream(s, d).select("user_id"), "user_id"), f"dedup_{uuid.uuid4().hex}"),
+    "stream_counts": lambda s, d: streams.drained(_stream(s, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), f"counts_{uuid.uuid4().hex}", "complete"),
+}
