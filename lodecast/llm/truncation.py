@@ -13,11 +13,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodecast.runtime import cut_lineage
+
 # What may stand after a cut; sentence marks with what may close behind them; tokens.
 MARK = r"(\s*([—–-]?\s*[(\[]\s*(more|continued|cont\.?)\b[^\n]{0,8}|\[\s*(…|\.\.\.|truncated|cut)\s*\]|<\s*(cut|truncated|…|\.\.\.)\s*>|\\u?[0-9a-fA-F]{0,4}|&[a-z]{0,6}|�|…|\.\.\.|[(\[{<]))+\s*$"
 CLOSED = r"[.!?。！？।؟][\"'”’»)\]*_`]*$"
 BARE = r"^[*_(]*[A-Za-z0-9.,+%$-]{1,16}[)*_.]*$"
-TOKEN = r"\n[ \t]*(?:[-*•+]|\d+[.)])[ \t]+|\n|[\p{L}\p{M}\p{N}_'’#]+|[.!?。！？।؟…]+"
+TOKEN = r"\n[ \t]*(?:[-*•+]|\d+[.)])[ \t]+|\n|[0-9]+(?:[.,][0-9]+)+|[\p{L}\p{M}\p{N}_'’#]+|[.!?。！？।؟…]+"
 
 TEXTS = r"""
 SELECT output_id, response, bare, bare <> body AS marked,
@@ -39,74 +41,64 @@ FROM (
 )
 """
 
-# Tokens of a text: each word with its class (number, or lower case), its shape, the three tokens before it, and what follows it:
-# 0 a word, 1 a sentence mark, 2 the end of a line, of the text, or an ellipsis.
+# Tokens of a text as classes (number, or lower case; <s> for marks and line ends, <li> for the start of a list entry), as
+# shapes, and by what they are: 0 a word, 1 a sentence mark, 2 the end of a line or an ellipsis. Each token is looked at
+# once; then each word is put beside the three tokens before it and what follows it.
 WORDS = r"""
-SELECT output_id, at, last, word, follows, next_follows,
-  concat_ws(' ', if(p1 IN ('<s>', '<li>'), '', p2), p1, class) AS trigram,
-  concat_ws(' ', p3, p2, p1) AS before,
-  concat_ws(' ', if(listed_line, 'L', if(verse, 'V', 'P')), if(p1 IN ('<s>', '<li>'), '', s2), s1, shape) AS mould,
-  class, p1 = '<s>' AND p2 <> '<s>' AND raw1 = '\n' AS first_of_line
+SELECT output_id, inline(filter(transform(t, (x, i) -> named_struct(
+    'is_word', get(k, i) = 0, 'last', i = size(t) - 1, 'word', x, 'class', get(c, i), 'follows', coalesce(get(k, i + 1), 2),
+    'ahead', concat(if(get(c, i - 1) IN ('<s>', '<li>'), '', get(c, i - 2)), ' ', coalesce(get(c, i - 1), '<s>'), ' '),
+    'before', concat_ws(' ', get(c, i - 3), get(c, i - 2), get(c, i - 1)),
+    'mould', concat_ws(' ', if(exists(slice(c, greatest(1, i - 5), least(i, 6)), y -> y = '<li>'), 'L', if(verse, 'V', 'P')), if(get(c, i - 1) IN ('<s>', '<li>'), '', get(h, i - 2)), get(h, i - 1), get(h, i)),
+    'first_of_line', get(t, i - 1) = '\n' AND get(c, i - 2) <> '<s>')), w -> w.is_word))
 FROM (
-  SELECT output_id, at, n = at + 1 AS last, word, verse,
-    @class_0@ AS class, @class_1@ AS p1, @class_2@ AS p2, @class_3@ AS p3, @shape_0@ AS shape, @shape_1@ AS s1, @shape_2@ AS s2, get(t, at - 1) AS raw1,
-    @follow_1@ AS follows, @follow_2@ AS next_follows,
-    exists(slice(t, greatest(1, at - 5), least(at, 6)), x -> x RLIKE r'^\n[ \t]*[-*•+0-9]') AS listed_line
-  FROM (SELECT output_id, verse, t, size(t) AS n, posexplode(t) AS (at, word) FROM (SELECT output_id, NOT sentences AND lines AS verse, regexp_extract_all(concat('\n', bare), r'@TOKEN@', 0) AS t FROM @texts@))
-  WHERE word RLIKE r'^[\p{L}\p{M}\p{N}_\x27’#]'
+  SELECT output_id, verse, t, k, transform(t, (x, i) -> CASE WHEN get(k, i) = 0 THEN if(x RLIKE r'^[0-9]', '<n>', lower(x)) WHEN length(x) > 1 AND startswith(x, '\n') THEN '<li>' ELSE '<s>' END) AS c,
+    transform(t, (x, i) -> CASE WHEN get(k, i) <> 0 THEN if(length(x) > 1 AND startswith(x, '\n'), '<li>', '<s>') WHEN x RLIKE r'^[0-9]' THEN '<n>' WHEN length(x) <= 3 THEN lower(x) WHEN x RLIKE r'^\p{Lu}' THEN 'A' ELSE 'a' END) AS h
+  FROM (
+    SELECT output_id, verse, t, transform(t, x -> CASE WHEN startswith(x, '\n') OR startswith(x, '…') OR startswith(x, '...') THEN 2 WHEN x RLIKE r'^[.!?。！？।؟]' THEN 1 ELSE 0 END) AS k
+    FROM (SELECT output_id, NOT sentences AND lines AS verse, regexp_extract_all(concat('\n', bare), r'@TOKEN@', 0) AS t FROM @texts@)
+  )
 )
 """
 
-
-def _class(k: int) -> str:
-    w = f"get(t, at - {k})" if k else "word"
-    return rf"CASE WHEN {w} IS NULL OR {w} RLIKE r'^[.!?。！？।؟…]' OR {w} = '\n' THEN '<s>' WHEN {w} RLIKE r'^\n' THEN '<li>' WHEN {w} RLIKE r'^[0-9]' THEN '<n>' ELSE lower({w}) END"
-
-
-def _shape(k: int) -> str:
-    w = f"get(t, at - {k})" if k else "word"
-    return rf"CASE WHEN {w} IS NULL OR {w} RLIKE r'^[.!?。！？।؟…]' OR {w} = '\n' THEN '<s>' WHEN {w} RLIKE r'^\n' THEN '<li>' WHEN {w} RLIKE r'^[0-9]' THEN '<n>' WHEN length({w}) <= 3 THEN lower({w}) WHEN {w} RLIKE r'^\p{{Lu}}' THEN 'A' ELSE 'a' END"
-
-
-def _follow(k: int) -> str:
-    w = f"get(t, at + {k})"
-    return rf"CASE WHEN {w} IS NULL OR {w} RLIKE r'^\n' OR {w} RLIKE r'^(…|\.\.\.)' THEN 2 WHEN {w} RLIKE r'^[.!?。！？।؟]' THEN 1 ELSE 0 END"
-
-
 # Of each trigram, of what stands before a word, of each shape and of each word: how often it occurs and how it goes on.
 COUNTS = """
-SELECT kind, gram, any_value(class) AS class, count(*) AS n, count_if(ends = 2) AS open_ends, count_if(ends > 0) AS any_ends, count_if(inside) AS inside
+SELECT kind, key, if(kind = 't', word, '') AS word, count(*) AS n, count_if(ends = 2) AS open_ends, count_if(ends > 0) AS any_ends, count_if(inside) AS inside
 FROM (
-  SELECT stack(4, 't', trigram, follows, 'b', before, follows, 'm', mould, follows, 'w', class, follows) AS (kind, gram, ends), NOT (last AND follows = 2) AS inside, class
+  SELECT stack(4, 't', ahead, follows, 'b', before, follows, 'm', mould, follows, 'w', class, follows) AS (kind, key, ends), class AS word, NOT (last AND follows = 2) AS inside
   FROM @words@
 )
-GROUP BY kind, gram
+GROUP BY kind, key, if(kind = 't', word, '')
+"""
+
+# Texts that are not closed, with their last words.
+ENDS = r"""
+SELECT t.*, w.word, w.ahead, w.before, w.mould, w.class, w.first_of_line
+FROM @texts@ t LEFT JOIN (SELECT * FROM @words@ WHERE last) w USING (output_id)
+WHERE NOT closed AND NOT (shut AND fences % 2 = 0) AND NOT counted
+"""
+
+# The counts that the ends ask for; of trigrams those of all words behind the same two.
+HELD = r"""
+SELECT c.* FROM @counts@ c LEFT SEMI JOIN (SELECT DISTINCT stack(4, 't', ahead, 'b', before, 'm', mould, 'w', class) AS (kind, key) FROM @ends@ WHERE word IS NOT NULL) k ON c.kind = k.kind AND c.key = k.key
 """
 
 FOUND = r"""
-WITH ends AS (
-  SELECT t.*, w.word, w.trigram, w.before, w.mould, w.class, w.first_of_line
-  FROM @texts@ t LEFT JOIN (SELECT * FROM @words@ WHERE last) w USING (output_id)
-  WHERE NOT closed AND NOT (shut AND fences % 2 = 0) AND NOT counted
-), keys AS (
-  SELECT DISTINCT stack(4, 't', trigram, 'b', before, 'm', mould, 'w', class) AS (kind, gram) FROM ends WHERE word IS NOT NULL
-), asked AS (
-  SELECT DISTINCT trigram, class, substring(trigram, 1, length(trigram) - length(class)) AS ahead FROM ends WHERE word IS NOT NULL
-), pieces AS (
+WITH asked AS (SELECT DISTINCT ahead, class FROM @ends@ WHERE word IS NOT NULL), pieces AS (
   -- final words that are the beginning of a longer word which follows the same two words more often
-  SELECT DISTINCT a.trigram FROM asked a
-  JOIN (SELECT class, n, substring(gram, 1, length(gram) - length(class)) AS ahead FROM @counts@ WHERE kind = 't') c ON a.ahead = c.ahead AND length(c.class) > length(a.class) AND startswith(c.class, a.class)
-  JOIN (SELECT gram, n FROM @counts@ WHERE kind = 't') o ON o.gram = a.trigram AND c.n > o.n
-), held AS (SELECT c.* FROM @counts@ c LEFT SEMI JOIN keys k ON c.kind = k.kind AND c.gram = k.gram)
+  SELECT DISTINCT a.ahead, a.class FROM asked a
+  JOIN @held@ c ON c.kind = 't' AND a.ahead = c.key AND length(c.word) > length(a.class) AND startswith(c.word, a.class)
+  JOIN @held@ o ON o.kind = 't' AND o.key = a.ahead AND o.word = a.class AND c.n > o.n
+)
 SELECT DISTINCT output_id FROM (
   SELECT e.*, coalesce(t.n, 1) - 1 AS tn, (coalesce(t.open_ends, 1) - 1) / nullif(coalesce(t.n, 1) - 1, 0) AS t_open, (coalesce(t.any_ends, 1) - 1) / nullif(coalesce(t.n, 1) - 1, 0) AS t_any,
     coalesce(b.n, 1) - 1 AS bn, (coalesce(b.open_ends, 1) - 1) / nullif(coalesce(b.n, 1) - 1, 0) AS b_open, (coalesce(b.any_ends, 1) - 1) / nullif(coalesce(b.n, 1) - 1, 0) AS b_any,
     coalesce(m.n, 1) - 1 AS mn, (coalesce(m.any_ends, 1) - 1) / nullif(coalesce(m.n, 1) - 1, 0) AS m_any,
-    (coalesce(w.inside, 0) > 0 OR e.class = '<n>') AND p.trigram IS NULL AS known, coalesce(w.open_ends, 0) AS w_open
-  FROM ends e
-  LEFT JOIN held t ON t.kind = 't' AND t.gram = e.trigram LEFT JOIN held b ON b.kind = 'b' AND b.gram = e.before
-  LEFT JOIN held m ON m.kind = 'm' AND m.gram = e.mould LEFT JOIN held w ON w.kind = 'w' AND w.gram = e.class
-  LEFT JOIN pieces p ON p.trigram = e.trigram
+    (coalesce(w.inside, 0) > 0 OR e.class = '<n>') AND p.class IS NULL AS known, coalesce(w.open_ends, 0) AS w_open
+  FROM @ends@ e
+  LEFT JOIN @held@ t ON t.kind = 't' AND t.key = e.ahead AND t.word = e.class LEFT JOIN @held@ b ON b.kind = 'b' AND b.key = e.before
+  LEFT JOIN @held@ m ON m.kind = 'm' AND m.key = e.mould LEFT JOIN @held@ w ON w.kind = 'w' AND w.key = e.class
+  LEFT JOIN pieces p ON p.ahead = e.ahead AND p.class = e.class
 )
 WHERE CASE
   WHEN json THEN unbalanced
@@ -141,9 +133,10 @@ def cut_responses(outputs: DataFrame) -> DataFrame:
     names = {"outputs": view("outputs", outputs.select("output_id", "response"))}
     quoted = {"CLOSED": CLOSED.replace("'", r"\x27"), "BARE": BARE, "MARK": MARK, "TOKEN": TOKEN.replace("'", r"\x27")}
     names["texts"] = view("texts", spark.sql(put(TEXTS, **quoted, **names)))
-    parts = {f"class_{k}": _class(k) for k in range(4)} | {f"shape_{k}": _shape(k) for k in range(3)} | {f"follow_{k}": _follow(k) for k in (1, 2)}
-    names["words"] = view("words", spark.sql(put(WORDS, **parts, **quoted, **names)))
+    names["words"] = view("words", spark.sql(put(WORDS, **quoted, **names)))
     names["counts"] = view("counts", spark.sql(put(COUNTS, **names)))
+    names["ends"] = view("ends", cut_lineage(spark.sql(put(ENDS, **names))))
+    names["held"] = view("held", cut_lineage(spark.sql(put(HELD, **names))))
     found = spark.sql(put(FOUND, **names))
     for name in names.values():
         spark.catalog.dropTempView(name)
