@@ -46,7 +46,7 @@ def spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
         low = F.sum("_c").over(Window.partitionBy(group).orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
         ranks = counts.withColumn(f"_r{c}", F.coalesce(low, F.lit(0)) + (F.col("_c") + 1) / 2.0).drop("_c")
         df = df.join(ranks, [group, c])
-    got = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.corr(f"_r{x}", f"_r{y}").alias("rho"), F.count_distinct(x).alias("_dx"), F.count_distinct(y).alias("_dy"))
+    got = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop(f"_r{x}", f"_r{y}"), F.stddev_pop(f"_r{x}") * F.stddev_pop(f"_r{y}")).alias("rho"), F.count_distinct(x).alias("_dx"), F.count_distinct(y).alias("_dy"))
     return got.select(group, "n", F.when((F.col("n") >= 2) & (F.col("_dx") > 1) & (F.col("_dy") > 1), F.col("rho")).alias("rho"))
 
 
