@@ -250,7 +250,7 @@ def pairs_of(records: DataFrame) -> DataFrame:
     role = lambda m: F.lower(F.trim(m["role"]))
     df = records.where("messages IS NOT NULL AND example_id IS NOT NULL").select("example_id", "messages")
     df = df.withColumn("_roles", F.transform("messages", role))
-    users = F.expr("filter(sequence(1, size(messages)), i -> element_at(_roles, i) = 'user')")
+    users = F.expr("filter(sequence(1, greatest(1, size(messages))), i -> try_element_at(_roles, i) = 'user')")
     df = df.where("exists(_roles, r -> r = 'user')").withColumn("_users", users)
     system = F.array_join(F.transform(F.filter("messages", lambda m: role(m) == "system"), lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
     df = df.select("example_id", "messages", "_roles", system.alias("context"), F.posexplode("_users").alias("_n", "_at"))

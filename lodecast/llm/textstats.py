@@ -131,7 +131,7 @@ def profile(text: str) -> tuple:
     tokens = len(spaced)
     cjk = 0 if body.isascii() else len(_WIDE.findall(body))
     mean_len = solid / max(1, tokens)
-    if broken > 0.12 or solid >= 24 and letters / max(1, solid) < 0.45 and not (align >= 0.6 and digits + letters > 0.5 * solid):
+    if broken > 0.12 or solid >= 24 and letters / max(1, solid) < 0.45 and not (align >= 0.6 and digits + letters > 0.25 * solid):
         kind = "junk"
     elif solid >= 40 and cjk < 0.2 * solid and (mean_len > 45 or odd > 0.45 and len(words) >= 8):
         kind = "junk"
