@@ -9,10 +9,8 @@ KEYS = ["adapter", "strategy", "seed"]
 
 
 def distinct_outputs(outputs: DataFrame) -> DataFrame:
-    """One row per adapter, benchmark and item: the first by output_id."""
-    rest = [c for c in outputs.columns if c not in ("adapter", "benchmark", "example_id")]
-    best = outputs.where("example_id IS NOT NULL").groupBy("adapter", "benchmark", "example_id").agg(F.min_by(F.struct(*rest), F.col("output_id")).alias("_b"))
-    return best.select("adapter", "benchmark", "example_id", "_b.*")
+    """One row per output_id, of outputs with an item: every attempt counts, only repeated rows are dropped."""
+    return outputs.where("example_id IS NOT NULL").dropDuplicates(["output_id"])
 
 
 def _mean(c: Column) -> Column:

@@ -174,3 +174,14 @@ def test_permutation_changes_nothing(spark, tiny):
     a = {tuple(r) for r in pool.capped(spark.createDataFrame(rows), "source", "doc_id", 2).collect()}
     random.Random(1).shuffle(rows)
     assert a == {tuple(r) for r in pool.capped(spark.createDataFrame(rows), "source", "doc_id", 2).collect()}
+
+
+def test_metrics_take_every_attempt(spark, tiny, tmp_path):
+    schema = spark.read.parquet(f"{tiny}/eval_outputs.parquet").schema
+    score = lambda x: None if x is None else (None, None, None, None, None, x)
+    made = [(1, 1, "i1", None), (2, 2, "i1", True), (3, 3, "i1", False), (3, 3, "i1", False), (4, 1, "i2", True), (5, 2, "i2", True), (6, 1, None, False)]
+    rows = [(i, "a-1", "random", 1, a, "bbh", "t", x, "(A)", "r", score(v), None) for i, a, x, v in made]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/eval_outputs.parquet")
+    got = {n: registry.QUERIES[n](spark, str(tmp_path)).collect() for n in ("score_unpivot", "metrics_seed", "metrics_strategy", "group_macro_worst")}
+    assert sorted((r.example_id, r.value) for r in got["score_unpivot"]) == [("i1", 0.0), ("i1", 1.0), ("i2", 1.0), ("i2", 1.0)]
+    assert [r.value for r in got["metrics_seed"]] == [0.75] and [r["mean"] for r in got["metrics_strategy"]] == [0.75] and [r.macro for r in got["group_macro_worst"]] == [0.75]
