@@ -36,9 +36,16 @@ def _quotas(s: SparkSession, d: str) -> DataFrame:
     return budget.largest_remainder(totals, "source", "t", TARGET)
 
 
+def _ordered(s: SparkSession, d: str) -> DataFrame:
+    return pool.numbered(_capped(s, d).select("source", "doc_id", "token_count"), "source", pool.random_order(13, "doc_id"))
+
+
 def _taken(s: SparkSession, d: str) -> DataFrame:
-    rows = pool.numbered(_capped(s, d).select("source", "doc_id", "token_count"), "source", pool.random_order(13, "doc_id"))
-    return budget.greedy_take(rows, "source", "doc_id", "token_count", "position", _quotas(s, d))
+    return budget.greedy_take(_ordered(s, d), "source", "doc_id", "token_count", "position", _quotas(s, d))
+
+
+def _topped(s: SparkSession, d: str) -> DataFrame:
+    return budget.top_up(_ordered(s, d), _taken(s, d), "source", "doc_id", "token_count", "position", TARGET)
 
 
 def _train(s: SparkSession, d: str) -> DataFrame:
@@ -102,7 +109,7 @@ QUERIES: dict[str, Query] = {
     "order_diversity": _order("diversity"),
     "greedy_take": _taken,
     "selection_summary": lambda s, d: _taken(s, d).join(_docs(s, d).select("doc_id", "token_count"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("token_count").alias("n_tokens")),
-    "exact_fit": lambda s, d: budget.exact_fit(_capped(s, d), _taken(s, d), "doc_id", "token_count", TARGET),
+    "exact_fit": lambda s, d: budget.exact_fit(_capped(s, d), _topped(s, d), "doc_id", "token_count", TARGET),
     "exact_overlap": lambda s, d: contamination.exact_overlap(_train(s, d), _evaluation(s, d)),
     "candidate_votes": lambda s, d: contamination.shingle_votes(_evaluation(s, d).toDF("train_id", "norm"), _evaluation(s, d)).where("train_id <> eval_id").withColumn("jaccard", F.round("jaccard", 9)),
     "near_overlap": lambda s, d: contamination.near_overlap(_train(s, d), _evaluation(s, d)),

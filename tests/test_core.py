@@ -185,3 +185,26 @@ def test_metrics_take_every_attempt(spark, tiny, tmp_path):
     got = {n: registry.QUERIES[n](spark, str(tmp_path)).collect() for n in ("score_unpivot", "metrics_seed", "metrics_strategy", "group_macro_worst")}
     assert sorted((r.example_id, r.value) for r in got["score_unpivot"]) == [("i1", 0.0), ("i1", 1.0), ("i2", 1.0), ("i2", 1.0)]
     assert [r.value for r in got["metrics_seed"]] == [0.75] and [r["mean"] for r in got["metrics_strategy"]] == [0.75] and [r.macro for r in got["group_macro_worst"]] == [0.75]
+
+
+def test_top_up_over_all_strata(spark):
+    rows = spark.createDataFrame([("b", 1, 3, 1), ("a", 2, 4, 2), ("a", 3, 2, 1), ("a", 4, 5, 3), ("b", 5, 1, 2), ("b", 6, 2, 3)], "g string, i bigint, t bigint, p int")
+    top = lambda chosen, target: sorted(r.i for r in budget.top_up(rows, rows.where(F.col("i").isin(chosen)).select("g", "i"), "g", "i", "t", "p", target).collect())
+    # 6 are missing: of a's leftovers 2 (4 tokens) fits and 4 (5) no more; of b's, 5 (1) fits and 6 (2) no more; nothing else fits.
+    assert top([1, 3], 11) == [1, 2, 3, 5]
+    assert top([1, 3], 5) == [1, 3] and top([1, 3], 4) == [1, 3] and top([], 6) == [2, 3]
+
+
+def test_exact_fit_is_topped_up(spark):
+    # All documents of sf0.001 fit the target; those of sf0.01 do not.
+    folder = "/root/testdata/sf0.01"
+    rows = pool.numbered(registry._capped(spark, folder).select("source", "doc_id", "token_count"), "source", pool.random_order(13, "doc_id")).collect()
+    order, tokens = {r.doc_id: (r.source, r.position) for r in rows}, {r.doc_id: r.token_count for r in rows}
+    mine = {r.doc_id for r in registry._taken(spark, folder).collect()}
+    total = sum(tokens[i] for i in mine)
+    for i in sorted(order.keys() - mine, key=order.get):
+        if total + tokens[i] <= registry.TARGET:
+            total += tokens[i]
+            mine.add(i)
+    want = budget.fit_exactly([(tokens[i], i) for i in sorted(mine)], [(tokens[i], i) for i in tokens.keys() - mine], registry.TARGET)
+    assert sorted(r.doc_id for r in registry.QUERIES["exact_fit"](spark, folder).collect()) == sorted(want)
