@@ -22,9 +22,14 @@ TARGET, CAP, POOL_SEED, FLOOR = 100_000, 100, 0, 0.55
 REPLICATES, BASE, TREATMENT = 1_000, "random", "diversity"
 
 
+def _texts(s: SparkSession, d: str) -> DataFrame:
+    """Documents with text and stand-in tokens, with or without source; the sources as stored."""
+    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "source", "lang", "text", T.token_count(F.col("text")).cast("bigint").alias("token_count"))
+
+
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    """Documents with text, stand-in tokens and source; the sources as stored."""
-    return table(s, d, "documents").where("text IS NOT NULL AND source IS NOT NULL").select("doc_id", "source", "lang", "text", T.token_count(F.col("text")).cast("bigint").alias("token_count"))
+    """The documents of _texts that have a source."""
+    return _texts(s, d).where("source IS NOT NULL")
 
 
 def _capped(s: SparkSession, d: str) -> DataFrame:
@@ -88,8 +93,7 @@ def _paired(s: SparkSession, d: str) -> DataFrame:
     return metrics.paired_items(metrics.metric_rows(_outputs(s, d)), BASE, TREATMENT)
 
 
-def _quality(s: SparkSession, d: str) -> DataFrame:
-    docs = _docs(s, d)
+def _quality(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", T.text_quality(F.col("text"), F.col("text"), F.col("token_count")).alias("quality_score"))
 
 
@@ -100,7 +104,8 @@ def _agreement(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "pool_strata": lambda s, d: pool.stratum_totals(pool.first_of_equal(messages.candidate_rows(table(s, d, "records")).select("example_id", "source", "source_row", "stratum", "token_count"), "example_id", ["source", "source_row"])),
-    "doc_quality": _quality,
+    "doc_quality": lambda s, d: _quality(_docs(s, d)),
+    "doc_quality_all": lambda s, d: _quality(_texts(s, d)),
     "dedup_first": lambda s, d: pool.first_of_equal(_docs(s, d).select(F.sha2("text", 256).alias("h"), "source", "doc_id"), "h", ["source", "doc_id"]),
     "capped_pool": lambda s, d: _capped(s, d).select("source", "doc_id", "token_count"),
     "token_quotas": _quotas,
@@ -134,7 +139,7 @@ QUERIES: dict[str, Query] = {
     "parse_states": lambda s, d: audit.parse_states(table(s, d, "judge_results").dropDuplicates(["audit_id"])),
     "spearman": lambda s, d: audit.spearman(audit.parsed_judgements(table(s, d, "judge_results")), "dimension", "a", "b").withColumn("rho", F.round("rho", 9)),
     "structural_flags": lambda s, d: messages.flag_counts(messages.structural_flags(table(s, d, "records"))),
-    "script_guess": lambda s, d: _docs(s, d).select(T.script_guess(F.col("text")).alias("script")).groupBy("script").agg(F.count(F.lit(1)).alias("n")),
+    "script_guess": lambda s, d: _texts(s, d).select(T.script_guess(F.col("text")).alias("script")).groupBy("script").agg(F.count(F.lit(1)).alias("n")),
     "quality_tertiles": lambda s, d: sampling.tertile_labels(table(s, d, "records").where("quality_score IS NOT NULL").select("example_id", "quality_score"), "quality_score", "example_id").groupBy("tertile").agg(F.count(F.lit(1)).alias("n"), F.min("quality_score").alias("lo"), F.max("quality_score").alias("hi")),
     "stream_dedup": lambda s, d: streams.drained(streams.dedup(_stream(s, d).select("user_id"), "user_id"), f"dedup_{uuid.uuid4().hex}"),
     "stream_counts": lambda s, d: streams.drained(_stream(s, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), f"counts_{uuid.uuid4().hex}", "complete"),

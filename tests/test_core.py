@@ -208,3 +208,14 @@ def test_exact_fit_is_topped_up(spark):
             mine.add(i)
     want = budget.fit_exactly([(tokens[i], i) for i in sorted(mine)], [(tokens[i], i) for i in tokens.keys() - mine], registry.TARGET)
     assert sorted(r.doc_id for r in registry.QUERIES["exact_fit"](spark, folder).collect()) == sorted(want)
+
+
+def test_documents_without_source(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").where("text IS NOT NULL")
+    assert docs.where("source IS NULL").count() > 0
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    every = registry.QUERIES["doc_quality_all"](spark, tiny)
+    assert ids(every) == ids(docs)
+    # Documents with a source have the score that the SQL checks.
+    assert every.join(docs.where("source IS NOT NULL").select("doc_id"), "doc_id").exceptAll(registry.QUERIES["doc_quality"](spark, tiny)).count() == 0
+    assert sum(r.n for r in registry.QUERIES["script_guess"](spark, tiny).collect()) == docs.count()
