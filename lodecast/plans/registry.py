@@ -117,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "exact_fit": lambda s, d: budget.exact_fit(_capped(s, d), _topped(s, d), "doc_id", "token_count", TARGET),
     "exact_overlap": lambda s, d: contamination.exact_overlap(_train(s, d), _evaluation(s, d)),
     "candidate_votes": lambda s, d: contamination.shingle_votes(_evaluation(s, d).toDF("train_id", "norm"), _evaluation(s, d)).where("train_id <> eval_id").withColumn("jaccard", F.round("jaccard", 9)),
+    "candidate_votes_train": lambda s, d: contamination.shingle_votes(_train(s, d), _evaluation(s, d)).withColumn("jaccard", F.round("jaccard", 9)),
     "near_overlap": lambda s, d: contamination.near_overlap(_train(s, d), _evaluation(s, d)),
     "length_buckets": lambda s, d: sampling.rank_buckets(table(s, d, "eval_items").select("benchmark", "example_id", F.length("prompt").alias("n")), "benchmark", [F.col("n"), F.col("example_id")], 4),
     "waterfill_counts": lambda s, d: sampling.water_fill(_docs(s, d).where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang", "n", 200),

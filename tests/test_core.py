@@ -219,3 +219,23 @@ def test_documents_without_source(spark, tiny):
     # Documents with a source have the score that the SQL checks.
     assert every.join(docs.where("source IS NOT NULL").select("doc_id"), "doc_id").exceptAll(registry.QUERIES["doc_quality"](spark, tiny)).count() == 0
     assert sum(r.n for r in registry.QUERIES["script_guess"](spark, tiny).collect()) == docs.count()
+
+
+def test_votes_of_training_prompts(spark, tiny, tmp_path):
+    asked = ["The quick  brown fox jumps", "the quick brown fox jumped over", "entirely other words here", "The quick brown fox jumps", "abc"]
+    items = [("bbh", "1", "the quick brown fox jumps"), ("bbh", "2", "Entirely other words there"), ("gsm8k", "1", "abc"), ("gsm8k", "2", "the quick brown fox jumps over the lazy dog")]
+    kinds = {t: spark.read.parquet(f"{tiny}/{t}.parquet").schema for t in ("records", "eval_items")}
+    make = lambda name, rows: spark.createDataFrame([tuple(r.get(f.name) for f in kinds[name]) for r in rows], kinds[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    make("records", [{"example_id": f"r{k}", "messages": [(" User", q), ("assistant", "x")]} for k, q in enumerate(asked)])
+    make("eval_items", [{"benchmark": b, "example_id": i, "prompt": p} for b, i, p in items])
+    norm = lambda t: " ".join(t.lower().split())
+    runs = lambda t: {t[k : k + 5] for k in range(max(1, len(t) - 4))}
+    want = set()
+    for k, q in enumerate(map(norm, asked)):
+        for b, i, p in ((b, i, norm(p)) for b, i, p in items):
+            both = len(runs(q) & runs(p))
+            jaccard = both / len(runs(q) | runs(p))
+            if both and jaccard >= 0.35 and max(len(q), len(p)) <= 1.5 * min(len(q), len(p)):
+                want.add((f"r{k}", f"{b}/{i}", both, round(jaccard, 9)))
+    assert len(want) > 4
+    assert {(r.train_id, r.eval_id, r.votes, r.jaccard) for r in registry.QUERIES["candidate_votes_train"](spark, str(tmp_path)).collect()} == want
