@@ -20,6 +20,7 @@ _SENTENCE_END = re.compile(r"[.!?…。！？।؟][\"'”’»)\]]*(?:\s|$)|[
 _CLOSED = re.compile(r"[.!?…。！？।؟:;][\"'”’»)\]*_]*\s*$")
 _ITEM = re.compile(r"\s*(?:[-*•–—·+▪◦]|\d{1,4}[.)]|[A-Za-z][.)]|\[[ xX✓]?\]|\([a-z0-9]{1,3}\))\s+\S")
 _GAP = re.compile(r"(?<=\S)(?:\t| {3,})(?=\S)|(?<=\S)\t|\t(?=\S)")
+_SPACED = re.compile(r"(?<=[^\s.!?:;,])  +(?=\S)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _DIGIT = re.compile(r"\d")
 _WIDE = re.compile(r"[\u2e80-\ud7ff\uf900-\ufaff\uff00-\uffef]")
@@ -86,6 +87,31 @@ def length_autocorrelation(lines: list[str]) -> float:
     return float(max(-1.0, min(1.0, (a * b).sum() / max(1e-9, (n - n.mean()).var() * len(a)))) * 0.5 + max(0.0, 1 - 2 * spread) * 0.5)
 
 
+def even_lines(lines: list[str], even: float) -> bool:
+    """Whether line lengths are regular by their autocorrelation, or nearly equal, where the autocorrelation is that of small differences."""
+    n = [len(x) for x in lines]
+    return even >= 0.3 or len(n) >= 4 and float(np.std(n)) <= 0.1 * float(np.mean(n))
+
+
+def spaced_rows(lines: list[str], even: float) -> bool:
+    """Whether the lines are rows of short cells set off by two spaces or more: as many cells in most of them, and lines of even length."""
+    if len(lines) < 4 or not even_lines(lines, even):
+        return False
+    counts = [len(_SPACED.findall(x.strip())) for x in lines]
+    common = Counter(c for c in counts if c).most_common(1)
+    return bool(common) and sum(c == common[0][0] and len(x.split()) <= 4 * (c + 1) for x, c in zip(lines, counts, strict=True)) >= 0.6 * len(lines)
+
+
+def stepped(lines: list[str], indent: float) -> bool:
+    """Whether at least half of the lines are indented in steps, in two depths or more."""
+    return indent >= 0.5 and len({len(x) - len(x.lstrip(" \t")) for x in lines} - {0}) >= 2
+
+
+def continued(lines: list[str]) -> float:
+    """Share of the lines after the first that begin in lower case, as wrapped prose does."""
+    return sum(x.lstrip()[0].islower() for x in lines[1:]) / max(1, len(lines) - 1)
+
+
 def ordinary(word: str) -> bool:
     """Whether a word of Latin letters is built as words are: vowels among its consonants, letter case as in words."""
     w = word.lower()
@@ -114,6 +140,8 @@ def profile(text: str) -> tuple:
     broken = 0.0 if body.isascii() else sum(map(len, _BROKEN.findall(body))) / max(1, solid)
     items = [x for x in lines if _ITEM.match(x)]
     align, mark = delimiter_alignment(lines, body)
+    indent, even = indent_periodicity(lines), length_autocorrelation(lines)
+    closed = sum(bool(_CLOSED.search(x)) for x in lines)
     common = tongues.function_share(body, words)
     # Words in lines that read as sentences: closed ones, or long ones without delimiters and with function words.
     inside = total = 0
@@ -135,9 +163,11 @@ def profile(text: str) -> tuple:
         kind = "junk"
     elif solid >= 40 and cjk < 0.2 * solid and (mean_len > 45 or odd > 0.45 and len(words) >= 8):
         kind = "junk"
+    elif len(lines) >= 5 and closed < 0.1 * len(lines) and stepped(lines, indent) and repeated_lines(lines) < 0.5:
+        kind = "list"
     elif prose >= 0.5:
         kind = "prose"
-    elif align >= 0.6 and len(lines) >= 4:
+    elif align >= 0.6 and len(lines) >= 4 or spaced_rows(lines, even):
         kind = "table"
     elif len(lines) <= 2 and strung >= 6 and Counter(words).most_common(1)[0][1] >= 3 and body.count(";") < 6 and repeated_words(body) > 0.35:
         kind = "junk"
@@ -147,15 +177,15 @@ def profile(text: str) -> tuple:
         kind = "list"
     elif body.count(",") >= 6 and tokens <= 4 * (body.count(",") + 1) and len(lines) <= 3 and not _SENTENCE_END.search(body[:-1]):
         kind = "list"
-    elif len(lines) >= 5 and tokens <= 7 * len(lines) and sum(bool(_CLOSED.search(x)) for x in lines) < 0.2 * len(lines) and repeated_lines(lines) < 0.5:
+    elif len(lines) >= 5 and (tokens <= 7 * len(lines) or even_lines(lines, even) and cjk < 0.2 * solid and continued(lines) < 0.5) and closed < 0.2 * len(lines) and repeated_lines(lines) < 0.5:
         kind = "list"
     elif len(words) >= 25 and cjk < 0.2 * solid and (common < 0.12 or not _SENTENCE_END.search(body) and common < 0.2):
         kind = "junk"
     elif len(words) >= 12 and repeated_lines(lines) >= 0.5 and len(lines) >= 5:
         kind = "junk"
     return (
-        len(words), letters / max(1, len(words)), symbols / max(1, solid), digits / max(1, solid), sum(bool(_CLOSED.search(x)) for x in lines) / len(lines), common, len(lines), len(items) / len(lines),
-        align, indent_periodicity(lines), length_autocorrelation(lines), prose, broken, kind,
+        len(words), letters / max(1, len(words)), symbols / max(1, solid), digits / max(1, solid), closed / len(lines), common, len(lines), len(items) / len(lines),
+        align, indent, even, prose, broken, kind,
     )
 
 

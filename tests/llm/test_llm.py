@@ -111,6 +111,19 @@ def test_kinds(text, kind):
     assert textstats.profile(text)[-1] == kind
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("Red umbrella large size wooden handle north depot\nBlue suitcase small size leather handle south depot\nGrey backpack medium size canvas strap west depot\nGreen raincoat large size yellow lining east depot\nBlack trolley small size rubber wheels main depot", "list"),
+        ("Plan of the trip\n  Visit the old harbour with the group before noon\n    Check the boats and the ropes at the pier\n    Ask the captain for the list of the crew\n  Walk to the tower and look at the bells\n    Take the stairs on the left of the door", "list"),
+        ("Item   Town  Units\nlamps  Bonn  12\nropes  Kiel  34\nsails  Jena  56\nmasts  Ulm   78", "table"), ("Item  Town  Units\nlamp  Bonn  12 kg\nrope  Kiel  34 kg\nsail  Jena  56 kg\nmast  Ulms  78 kg", "table"),
+        ("The cat sat on the mat.  It was glad about\nthe sun.  Then the dog came in and they\nplayed for an hour.  At the end of the day\nthe two of them slept.  It was a good one.", "prose"),
+    ],
+)
+def test_kinds_by_shape(text, kind):
+    assert textstats.profile(text)[-1] == kind
+
+
 def test_profiles_keep_rows(spark):
     df = spark.createDataFrame([("a", None, 0.5), ("b", "", None), ("b", "", None)], "example_id string, text string, quality_score double").withColumn("kind", F.lit("x"))
     got = textstats.text_profiles(df).collect()
