@@ -20,6 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Parameters of the queries.
 TARGET, CAP, POOL_SEED, FLOOR = 100_000, 100, 0, 0.55
 REPLICATES, BASE, TREATMENT = 1_000, "random", "diversity"
+# Those of the reference: all treatments against BASE.
+ALL_REPLICATES, TREATMENTS = 10_000, ("quality", "diversity")
 
 
 def _texts(s: SparkSession, d: str) -> DataFrame:
@@ -93,6 +95,12 @@ def _paired(s: SparkSession, d: str) -> DataFrame:
     return metrics.paired_items(metrics.metric_rows(_outputs(s, d)), BASE, TREATMENT)
 
 
+def _contrasts(s: SparkSession, d: str) -> DataFrame:
+    rows = metrics.metric_rows(_outputs(s, d))
+    each = [metrics.bootstrap(metrics.paired_items(rows, BASE, t), ALL_REPLICATES).withColumn("treatment", F.lit(t)) for t in TREATMENTS]
+    return each[0].unionByName(each[1]).select("metric", "treatment", "n", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
+
+
 def _quality(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", T.text_quality(F.col("text"), F.col("text"), F.col("token_count")).alias("quality_score"))
 
@@ -134,6 +142,7 @@ QUERIES: dict[str, Query] = {
     "group_macro_worst": lambda s, d: metrics.task_summary(metrics.metric_rows(_outputs(s, d)).where("metric = 'bbh'")).select("adapter", F.round("macro", 9).alias("macro"), F.round("worst", 9).alias("worst"), "tasks"),
     "paired_diff": lambda s, d: _paired(s, d).withColumn("difference", F.round("difference", 9)),
     "paired_bootstrap": lambda s, d: metrics.bootstrap(_paired(s, d), REPLICATES).select("metric", "n", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")]),
+    "bootstrap_contrasts": _contrasts,
     "sign_counts": lambda s, d: metrics.sign_counts(metrics.metric_rows(_outputs(s, d)), BASE, TREATMENT),
     "overlap_matrix": lambda s, d: audit.overlap_matrix(table(s, d, "eval_outputs"), "adapter", "example_id"),
     "agreement": _agreement,

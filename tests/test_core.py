@@ -1,5 +1,6 @@
 """Operators of the core against hand-made cases, brute force and SQL."""
 
+import hashlib
 import random
 
 import duckdb
@@ -239,3 +240,17 @@ def test_votes_of_training_prompts(spark, tiny, tmp_path):
                 want.add((f"r{k}", f"{b}/{i}", both, round(jaccard, 9)))
     assert len(want) > 4
     assert {(r.train_id, r.eval_id, r.votes, r.jaccard) for r in registry.QUERIES["candidate_votes_train"](spark, str(tmp_path)).collect()} == want
+
+
+def test_contrasts_of_all_treatments(spark, tiny, tmp_path):
+    schema = spark.read.parquet(f"{tiny}/eval_outputs.parquet").schema
+    values = {"random": [0, 0, 1, 0], "quality": [1, 0, 1, 0], "diversity": [1, 1, 1, 0]}
+    rows = [(10 * a + i, k, k, 1, 1, "bbh", "t", f"i{i}", "(A)", "r", (None, None, None, None, None, bool(v)), None) for a, (k, vs) in enumerate(values.items()) for i, v in enumerate(vs)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/eval_outputs.parquet")
+    got = {r.treatment: r for r in registry.QUERIES["bootstrap_contrasts"](spark, str(tmp_path)).collect()}
+    assert registry.ALL_REPLICATES == 10_000 and {k: (r.n, r["mean"]) for k, r in got.items()} == {"quality": (4, 0.25), "diversity": (4, 0.5)}
+    for k, r in got.items():
+        diff = [t - b for b, t in zip(values["random"], values[k], strict=True)]
+        draws = [[int(hashlib.md5(f"{rep}:{j}".encode()).hexdigest()[:8], 16) % 4 for j in range(4)] for rep in range(10_000)]
+        means = sorted(sum(diff[i] for i in x) / 4 for x in draws)
+        assert (r.low, r.high) == (means[249], means[9749])
