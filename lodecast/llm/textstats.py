@@ -19,6 +19,8 @@ ship_by_value(__name__)
 _SENTENCE_END = re.compile(r"[.!?…。！？।؟][\"'”’»)\]]*(?:\s|$)|[。！？।]")
 _CLOSED = re.compile(r"[.!?…。！？।؟:;][\"'”’»)\]*_]*\s*$")
 _ITEM = re.compile(r"\s*(?:[-*•–—·+▪◦]|\d{1,4}[.)]|[A-Za-z][.)]|\[[ xX✓]?\]|\([a-z0-9]{1,3}\))\s+\S")
+#: Indentation of a line, and the mark of an entry with the space behind it.
+_EDGE = re.compile(r"[ \t]*(?:(?:[-*•–—·+▪◦]|\d{1,4}[.)]|[A-Za-z][.)]|\[[ xX✓]?\]|\([a-z0-9]{1,3}\))[ \t]+(?=\S))?")
 _GAP = re.compile(r"(?<=\S)(?:\t| {3,})(?=\S)|(?<=\S)\t|\t(?=\S)")
 _SPACED = re.compile(r"(?<=[^\s.!?:;,])  +(?=\S)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -32,17 +34,24 @@ FIELDS = (
 )
 
 
-def cells(line: str, mark: str) -> int:
+def edges(line: str, mark: str) -> list[int]:
+    """Columns at which the cells of a line end: the places of a delimiter, or of runs of spaces (`gap`)."""
     if mark == "gap":
-        return len(_GAP.findall(line)) if "\t" in line or "   " in line else 0
-    return line.count(mark)
+        return [m.end() for m in _GAP.finditer(line)] if "\t" in line or "   " in line else []
+    out, k = [], line.find(mark)
+    while k >= 0:
+        out.append(k)
+        k = line.find(mark, k + 1)
+    return out
 
 
 def delimiter_alignment(lines: list[str], body: str) -> tuple[float, str]:
-    """Share of the lines that have the same, non-zero number of one delimiter, and that delimiter.
+    """How well the lines' delimiters stand below each other, and the delimiter for which they do best.
 
-    For vertical bars, tabs and runs of spaces, which prose lacks, any line with the delimiter counts; commas and
-    semicolons must stand equally often and in short cells.
+    Each line is put beside the one before it. Its delimiters are aligned where they stand in the same columns, by a
+    column more or less, or where both lines have equally many, so that the k-th cell of one is below the k-th of the
+    other whatever their widths. The score is the mean over all lines. Commas and semicolons, which prose has too, only
+    count in lines of short cells without a sentence's end.
     """
     best, which = 0.0, ""
     if len(lines) < 3:
@@ -50,29 +59,36 @@ def delimiter_alignment(lines: list[str], body: str) -> tuple[float, str]:
     for mark in ("|", "│", "\t", ";", ",", "gap"):
         if mark != "gap" and mark not in body:
             continue
-        counts = [cells(x, mark) for x in lines]
-        have = [c for c in counts if c]
-        if not have:
-            continue
+        at = [edges(x, mark) for x in lines]
         if mark in ",;":
-            common, n = Counter(have).most_common(1)[0]
-            short = [x for x, c in zip(lines, counts, strict=True) if c == common and len(x.split()) <= 2 * (c + 1) and not _SENTENCE_END.search(x)]
-            share = min(n, len(short)) / len(lines)
-        else:
-            share = len(have) / len(lines)
+            at = [e if len(x.split()) <= 2 * (len(e) + 1) and not _SENTENCE_END.search(x) else [] for x, e in zip(lines, at, strict=True)]
+        score = 0.0
+        for above, below in zip([at[1], *at[:-1]], at, strict=True):
+            if above and below:
+                if len(above) == len(below):
+                    score += 1.0
+                else:
+                    have = {c + d for c in above for d in (-1, 0, 1)}
+                    score += sum(c in have for c in below) / max(len(above), len(below))
+        share = score / len(lines)
         if share > best:
             best, which = share, mark
     return best, which
 
 
 def indent_periodicity(lines: list[str]) -> float:
-    """Share of indented lines whose indentation is a multiple of the least one; 0 where fewer than three are indented."""
-    depth = [len(x) - len(x.lstrip(" \t")) for x in lines]
-    indented = [d for d in depth if d]
-    if len(indented) < 3:
+    """Share of the lines whose text begins in a column that comes back within four lines, as it does in lists of up to four levels.
+
+    Text begins behind the indentation and behind the mark of an entry, which is a hanging indentation; indentation that
+    all lines have in common is taken off. Lines without any don't count; fewer than three lines give 0.
+    """
+    if len(lines) < 3:
         return 0.0
-    least = min(indented)
-    return sum(d % least == 0 for d in indented) / len(lines)
+    wide = [x.expandtabs(4) for x in lines]
+    common = min(len(x) - len(x.lstrip(" ")) for x in wide)
+    depth = [_EDGE.match(x, common).end() - common for x in wide]
+    back = sum(d > 0 and any(abs(d - e) <= 1 for e in depth[max(0, k - 4) : k]) for k, d in enumerate(depth))
+    return back / (len(depth) - 1)
 
 
 def length_autocorrelation(lines: list[str]) -> float:
@@ -90,7 +106,17 @@ def length_autocorrelation(lines: list[str]) -> float:
 def even_lines(lines: list[str], even: float) -> bool:
     """Whether line lengths are regular by their autocorrelation, or nearly equal, where the autocorrelation is that of small differences."""
     n = [len(x) for x in lines]
-    return even >= 0.3 or len(n) >= 4 and float(np.std(n)) <= 0.1 * float(np.mean(n))
+    return even >= 0.3 or even > 0 and len(n) >= 4 and float(np.std(n)) <= 0.1 * float(np.mean(n))
+
+
+def strung(lines: list[str], body: str) -> tuple[list[str], str]:
+    """The entries of a list that is strung in few lines, and the mark between them; none for a text in many lines."""
+    best, which = [], ""
+    if len(lines) <= 4:
+        for mark in (";", " | ", " / ", " • ", " · ", ","):
+            if body.count(mark) > len(best):
+                best, which = [x for x in body.split(mark) if x.strip()], mark
+    return best, which
 
 
 def spaced_rows(lines: list[str], even: float) -> bool:
@@ -154,11 +180,13 @@ def profile(text: str) -> tuple:
             inside += n
     prose = inside / max(1, total)
     odd = sum(not ordinary(w) for w in _WORD.findall(body)) / max(1, len(words)) if common < 0.2 else 0.0
-    strung = max(body.count(";"), body.count(" | "), body.count(" / "), body.count(" • "), body.count(" · "))
+    entries, between = strung(lines, body)
+    spread = length_autocorrelation(entries)
     kind = "prose"
     tokens = len(spaced)
     cjk = 0 if body.isascii() else len(_WIDE.findall(body))
     mean_len = solid / max(1, tokens)
+    flat = closed < 0.2 * len(lines) and repeated_lines(lines) < 0.5
     if broken > 0.12 or solid >= 24 and letters / max(1, solid) < 0.45 and not (align >= 0.6 and digits + letters > 0.25 * solid):
         kind = "junk"
     elif solid >= 40 and cjk < 0.2 * solid and (mean_len > 45 or odd > 0.45 and len(words) >= 8):
@@ -167,17 +195,15 @@ def profile(text: str) -> tuple:
         kind = "list"
     elif prose >= 0.5:
         kind = "prose"
-    elif align >= 0.6 and len(lines) >= 4 or spaced_rows(lines, even):
+    elif len(lines) >= 4 and (align >= 0.6 or spaced_rows(lines, even)):
         kind = "table"
-    elif len(lines) <= 2 and strung >= 6 and Counter(words).most_common(1)[0][1] >= 3 and body.count(";") < 6 and repeated_words(body) > 0.35:
+    elif len(lines) <= 2 and between not in (";", ",") and len(entries) > 6 and Counter(words).most_common(1)[0][1] >= 3 and repeated_words(body) > 0.35:
         kind = "junk"
-    elif len(items) >= max(3, 0.5 * len(lines)):
-        kind = "list"
-    elif strung >= 4 and tokens <= 6 * (strung + 1):
+    elif indent >= 0.5:
         kind = "list"
-    elif body.count(",") >= 6 and tokens <= 4 * (body.count(",") + 1) and len(lines) <= 3 and not _SENTENCE_END.search(body[:-1]):
+    elif len(entries) > 4 and tokens <= (5 if between != "," else 3.5) * (1 + spread) * len(entries) and not _SENTENCE_END.search(body[:-1]):
         kind = "list"
-    elif len(lines) >= 5 and (tokens <= 7 * len(lines) or even_lines(lines, even) and cjk < 0.2 * solid and continued(lines) < 0.5) and closed < 0.2 * len(lines) and repeated_lines(lines) < 0.5:
+    elif len(lines) >= 5 and (tokens <= (5 + 4 * even) * len(lines) or even_lines(lines, even) and cjk < 0.2 * solid and continued(lines) < 0.5) and flat:
         kind = "list"
     elif len(words) >= 25 and cjk < 0.2 * solid and (common < 0.12 or not _SENTENCE_END.search(body) and common < 0.2):
         kind = "junk"
