@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodecast.functions.text import priority
+from lodecast.operators.ranks import numbered
 
 
 def first_of_equal(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -35,15 +36,10 @@ def quality_order(score: str, ident: str) -> list[Column]:
     return [F.col(score).desc(), F.substring(F.sha2(F.col(ident).cast("string"), 256), 1, 16).asc(), F.col(ident).asc()]
 
 
-def numbered(df: DataFrame, group: str | None, order: list[Column], name: str = "position") -> DataFrame:
-    """df with the position of each row in its group."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*([group] if group else [])).orderBy(*order)))
-
-
 def cluster_round_robin(df: DataFrame, group: str, cluster: str, score: str, ident: str, seed: int) -> DataFrame:
     """The diversity order: rank in cluster by score and seeded hash, then all first ranks by cluster, all second ranks, and so on."""
-    inner = Window.partitionBy(group, cluster).orderBy(F.col(score).desc(), priority(seed, F.col(ident)), F.col(ident))
-    return numbered(df.withColumn("cluster_rank", F.row_number().over(inner)), group, [F.col("cluster_rank"), F.col(cluster)])
+    best = [F.col(score).desc(), priority(seed, F.col(ident)).asc(), F.col(ident).asc()]
+    return numbered(numbered(df, [group, cluster], best, "cluster_rank"), group, [F.col("cluster_rank").asc(), F.col(cluster).asc()])
 
 
 def clusters(df: DataFrame, vector: str, k: int, seed: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodecast.functions.text import priority
+from lodecast.operators.ranks import filled
 from lodecast.runtime import ship_by_value
 
 ship_by_value(__name__)
@@ -23,21 +24,19 @@ def rank_buckets(df: DataFrame, group: str | None, order: list[Column], parts: i
 
 
 def water_fill(capacity: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """key, taken: total units dealt in rounds by key, one each while capacity lasts.
-
-    Slot k of a key lies in round k; the first `total` slots by (round, key) are dealt. At most `total` slots a key are
-    made, so that the work depends on the sample, not on the data.
-    """
-    slots = capacity.select(key, F.explode(F.expr(f"CASE WHEN {size} > 0 THEN sequence(1, cast(least({size}, {total}) as int)) ELSE array() END")).alias("_k"))
-    dealt = slots.withColumn("_n", F.row_number().over(Window.orderBy("_k", key))).where(F.col("_n") <= total)
-    got = dealt.groupBy(key).agg(F.count(F.lit(1)).alias("taken"))
-    return capacity.select(key).join(got, key, "left").na.fill(0, ["taken"])
+    """key, taken: total units dealt in rounds by key, one each while capacity lasts; in closed form, so that the work depends on the number of keys alone."""
+    return filled(capacity.select(key, size).withColumn("_total", F.lit(total)), [], [key], size, "_total").select(key, "taken")
 
 
 def sample_groups(df: DataFrame, group: str, ident: str, counts: DataFrame, seed: int) -> DataFrame:
-    """The first `taken` rows of each group by seeded hash."""
+    """The first `taken` rows of each group by seeded hash.
+
+    The greatest of the counts is a constant of the plan, so that each partition passes on at most as many rows of a group, however large it is.
+    """
+    most = counts.agg(F.max("taken")).first()[0] or 0
     w = Window.partitionBy(group).orderBy(priority(seed, F.col(ident)), ident)
-    return df.withColumn("_n", F.row_number().over(w)).join(F.broadcast(counts), group).where(F.col("_n") <= F.col("taken")).drop("_n", "taken")
+    first = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    return first.join(F.broadcast(counts), group).where(F.col("_n") <= F.col("taken")).drop("_n", "taken")
 
 
 def equal_per_group(df: DataFrame, group: str, ident: str, k: int, seed: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -151,6 +150,6 @@ QUERIES: dict[str, Query] = {
     "structural_flags": lambda s, d: messages.flag_counts(messages.structural_flags(table(s, d, "records"))),
     "script_guess": lambda s, d: _texts(s, d).select(T.script_guess(F.col("text")).alias("script")).groupBy("script").agg(F.count(F.lit(1)).alias("n")),
     "quality_tertiles": lambda s, d: sampling.tertile_labels(table(s, d, "records").where("quality_score IS NOT NULL").select("example_id", "quality_score"), "quality_score", "example_id").groupBy("tertile").agg(F.count(F.lit(1)).alias("n"), F.min("quality_score").alias("lo"), F.max("quality_score").alias("hi")),
-    "stream_dedup": lambda s, d: streams.drained(streams.dedup(_stream(s, d).select("user_id"), "user_id"), f"dedup_{uuid.uuid4().hex}"),
-    "stream_counts": lambda s, d: streams.drained(_stream(s, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), f"counts_{uuid.uuid4().hex}", "complete"),
+    "stream_dedup": lambda s, d: streams.drained(streams.dedup(_stream(s, d).select("user_id"), "user_id"), streams.fresh_folder(s)),
+    "stream_counts": lambda s, d: streams.drained(_stream(s, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), streams.fresh_folder(s), "complete"),
 }

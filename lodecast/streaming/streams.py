@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodecast.functions.text import priority
+from lodecast.runtime import checkpoint_folder
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
@@ -47,11 +50,32 @@ def capped_sample(stream: DataFrame, group: str, ident: str, cap: int, folder: s
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All rows that a stream gives until its input is used up, as a table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All rows that a stream gives until its input is used up, as a table of files below folder; state and progress lie there too.
+
+    In append mode each batch is a folder of its own, named by its number; in complete mode the last batch holds
+    everything. A batch that runs again after a failure writes the same folder again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    rows = spark.createDataFrame([], stream.schema) if not exists(spark, f"{folder}/rows") else spark.read.parquet(f"{folder}/rows")
+    if mode == "complete" and "batch" in rows.columns:
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.select(*stream.columns)
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def resumable_output(stream: DataFrame, path: str, checkpoint: str):
