@@ -28,9 +28,9 @@ QUERIES: dict[str, Query] = {
     "p2_budget": lambda s, d: tokens.token_budget(table(s, d, "records"), table(s, d, "documents"), table(s, d, "source_info")),
     "p3_found": lambda s, d: truncation.cut_responses(table(s, d, "eval_outputs")),
     "p3_shares": lambda s, d: truncation.cut_shares(table(s, d, "eval_outputs")).withColumn("share", F.round("share", 9)),
-    "p4_found": lambda s, d: mixture.unfilled(table(s, d, "records"), table(s, d, "target_mix")),
+    "p4_found": lambda s, d: mixture.unfilled(table(s, d, "records"), table(s, d, "target_mix"), seed=13),
     "p4_sample": lambda s, d: mixture.mixture_sample(table(s, d, "records"), table(s, d, "target_mix"), seed=13)[0],
-    "p4_report": lambda s, d: mixture.mixture_sample(table(s, d, "records"), table(s, d, "target_mix"), seed=13)[1],
+    "p4_report": lambda s, d: mixture.mixture_sample(table(s, d, "records"), table(s, d, "target_mix"), seed=13)[1].withColumns({c: F.round(c, 9) for c in ("wanted", "short")}),
     "p5_found": lambda s, d: textstats.no_prose(table(s, d, "records")),
     "p5_stats": lambda s, d: textstats.text_profiles(table(s, d, "records")),
     "p6_found": lambda s, d: variety.similar_groups(table(s, d, "records")).withColumnsRenamed({"a": "example_id_a", "b": "example_id_b"}),
@@ -48,7 +48,45 @@ _USABLE = """
   ), have AS (SELECT source, length_bin, count(*) AS available FROM usable GROUP BY source, length_bin)
 """
 
+# The drawn sample in steps: wanted numbers, the factor that the categories not exhausted share, prefix sums, crossings, and the repair of floors by rounds.
+_MIX = f"""
+WITH {_USABLE}, everything AS (SELECT count(DISTINCT example_id) AS n FROM usable),
+plan AS (
+  SELECT mix_name, source, length_bin, any_value(available) AS available, sum(wanted) AS wanted, max(min_rows) AS min_rows FROM (
+    SELECT DISTINCT m.mix_name, translate(lower(trim(m.source)), '_ ', '--') AS source, m.length_bin, coalesce(h.available, 0)::BIGINT AS available,
+      coalesce(m.target_share, 0)::DOUBLE * coalesce(m.sample_share, 0)::DOUBLE * everything.n AS wanted, coalesce(m.min_rows, 0)::BIGINT AS min_rows
+    FROM everything, target_mix m LEFT JOIN have h ON h.source = translate(lower(trim(m.source)), '_ ', '--') AND h.length_bin = m.length_bin
+  ) GROUP BY ALL
+), ratios AS (SELECT *, wanted > 0 AND available > 0 AS inside, CASE WHEN wanted > 0 AND available > 0 THEN available / wanted END AS ratio, sum(wanted) OVER (PARTITION BY mix_name) AS size FROM plan),
+factors AS (
+  SELECT *, (size - coalesce(sum(available) OVER w, 0)) / (sum(wanted) OVER (PARTITION BY mix_name, inside) - coalesce(sum(wanted) OVER w, 0)) AS f
+  FROM ratios WINDOW w AS (PARTITION BY mix_name, inside ORDER BY ratio, source, length_bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), chosen AS (SELECT mix_name, arg_min(f, (ratio, source, length_bin)) AS factor FROM factors WHERE inside AND f <= ratio GROUP BY mix_name),
+likely AS (SELECT f.*, CASE WHEN NOT inside THEN 0.0::DOUBLE WHEN factor IS NULL THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, factor / ratio) END AS p FROM factors f LEFT JOIN chosen USING (mix_name)),
+based AS (
+  SELECT *, coalesce(sum(p * available) OVER (PARTITION BY mix_name ORDER BY source, length_bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    + ('0x' || substr(md5('13:' || mix_name), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS base FROM likely
+), drawn AS (SELECT *, (floor(base + p * available + 1e-9) - floor(base + 1e-9))::BIGINT AS drawn, least(min_rows, available) AS lowest FROM based),
+lacks AS (
+  SELECT *, greatest(0, lowest - drawn) AS lack, greatest(0, drawn - greatest(lowest, floor(wanted)::BIGINT)) AS spare, greatest(0, drawn - lowest) AS surplus, sum(greatest(0, lowest - drawn)) OVER (PARTITION BY mix_name) AS need FROM drawn
+), slots AS (
+  SELECT mix_name, source, length_bin, need, row_number() OVER (PARTITION BY mix_name ORDER BY k > spare, k - CASE WHEN k > spare THEN spare ELSE 0 END, source, length_bin) AS turn
+  FROM (SELECT *, unnest(generate_series(1, surplus)) AS k FROM lacks WHERE need > 0)
+), given AS (SELECT mix_name, source, length_bin, count(*) AS given FROM slots WHERE turn <= need GROUP BY ALL),
+final AS (SELECT l.*, l.drawn - coalesce(given, 0) AS keep FROM lacks l LEFT JOIN given USING (mix_name, source, length_bin)),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY source, length_bin ORDER BY md5('13:' || example_id), example_id) AS r FROM usable),
+placed AS (
+  SELECT mix_name, example_id, source, length_bin, floor(base + p * r + 1e-9) > floor(base + p * (r - 1) + 1e-9) AS hit, floor(base + p * r + 1e-9) - floor(base + 1e-9) AS nth, r, keep, lack
+  FROM ranks JOIN final USING (source, length_bin)
+), sample AS (SELECT mix_name, example_id, source, length_bin FROM placed WHERE hit AND nth <= keep OR NOT hit AND r - nth <= lack)
+"""
+
 ORACLES: dict[str, str] = {
+    "p4_sample": f"{_MIX} SELECT * FROM sample",
+    "p4_report": f"""{_MIX}, counted AS (SELECT mix_name, source, length_bin, count(*) AS selected FROM sample GROUP BY ALL)
+SELECT mix_name, source, length_bin, available, round(wanted, 9) AS wanted, min_rows, drawn, coalesce(selected, 0) AS selected,
+  CASE WHEN coalesce(selected, 0) < min_rows OR available < wanted THEN round(greatest(wanted, min_rows) - coalesce(selected, 0), 9) ELSE 0.0::DOUBLE END AS short
+FROM final LEFT JOIN counted USING (mix_name, source, length_bin)""",
     "p4_found": f"""
 WITH {_USABLE}
 SELECT DISTINCT m.mix_name, translate(lower(trim(m.source)), '_ ', '--') AS source, m.length_bin
