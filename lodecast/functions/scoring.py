@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodecast.functions import plugins
 from lodecast.functions.text import normalise
 
 # A number, what marks a final answer, an option letter, a worded option, what is stripped from answers.
@@ -13,6 +14,14 @@ MARKED = r"####[\t-\r\x1c-\x20\x85\p{Z}]*(" + NUMBER + ")"
 OPTION = r"\([A-Z]\)"
 WORDED = r"(?i)(?:answer|choice|option|final)[\t-\r\x1c-\x20\x85\p{Z}]*(?:is|:)?[\t-\r\x1c-\x20\x85\p{Z}]*\(?([A-Z])\)?"
 STRIP = " .,:;!?\n"
+# White space at either end, and ends of lines.
+SIDES = r"^[\t-\r\x1c-\x20\x85\p{Z}]+|[\t-\r\x1c-\x20\x85\p{Z}]+$"
+LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\x{2028}\x{2029}]"
+# What a prompt of a benchmark ends with.
+SUFFIXES = {
+    "gsm8k": "\n\nSolve the problem. End your final numeric answer with #### followed by the number.",
+    "bbh": "\n\nReturn only the final answer. Do not add an explanation.",
+}
 
 
 def last_of(c: Column, pattern: str, group: int = 0) -> Column:
@@ -36,11 +45,12 @@ def strip_marks(c: Column) -> Column:
 
 def extract_option(response: Column, target: Column) -> Column:
     """The answer in a response, read in the form of its target: option, truth value, contained text, or last line."""
+    target = F.regexp_replace(target, SIDES, "")
     wording = strip_marks(normalise(target))
     option = F.coalesce(last_of(response, OPTION), F.concat(F.lit("("), F.upper(last_of(response, WORDED, 1)), F.lit(")")))
     truth = F.initcap(last_of(response, r"(?i)\b(?:true|false)\b"))
-    lines = F.filter(F.split(response, "\n"), lambda x: F.trim(x) != "")
-    tail = F.btrim(F.try_element_at(lines, F.lit(-1)), F.lit(" .\t\r"))
+    lines = F.filter(F.split(response, LINE_END), lambda x: F.regexp_replace(x, SIDES, "") != "")
+    tail = F.btrim(F.regexp_replace(F.try_element_at(lines, F.lit(-1)), SIDES, ""), F.lit(" ."))
     return (
         F.when(target.rlike(r"^\([A-Z]\)$"), option)
         .when(target.isin("True", "False"), truth)
@@ -52,3 +62,15 @@ def extract_option(response: Column, target: Column) -> Column:
 def option_match(response: Column, target: Column) -> Column:
     got = extract_option(response, target)
     return F.coalesce(strip_marks(normalise(got)) == strip_marks(normalise(target)), F.lit(False))
+
+
+def evaluation_prompt(benchmark: Column, prompt: Column) -> Column:
+    """The prompt as a model gets it: with the closing instruction of its benchmark, if it has one."""
+    end = F.lit("")
+    for name, text in SUFFIXES.items():
+        end = F.when(benchmark == name, text).otherwise(end)
+    return F.concat(prompt, end)
+
+
+plugins.register(plugins.SCORERS, "number", number_match)
+plugins.register(plugins.SCORERS, "option", option_match)

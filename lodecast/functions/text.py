@@ -101,6 +101,11 @@ def priority(seed: int | str, ident: Column) -> Column:
     return F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), ident.cast("string")), 256), 1, 16)
 
 
+def is_blank(c: Column) -> Column:
+    """Whether a text holds nothing but white space; null for null."""
+    return ~c.rlike(r"[^\t-\r\x1c-\x20\x85\p{Z}]")
+
+
 # Scripts and marker letters of the language guess, in the order in which they are tried.
 _SCRIPT_RULES = (
     (r"[\x{AC00}-\x{D7A3}]", "ko"), (r"[\x{0E01}-\x{0E5B}]", "th"), (r"[\x{0400}-\x{044F}]", "cyrillic"), (r"[\x{0905}-\x{097F}]", "hi"), (r"[\x{0C95}-\x{0CDE}]", "kn"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["adapter", "strategy", "seed"]
@@ -74,8 +74,6 @@ def bootstrap(paired: DataFrame, replicates: int) -> DataFrame:
     Each replicate's draws are joined with the indexed items by a broadcast of the items, which are one per evaluation
     item, and summed where they are made.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("metric")
     items = paired.withColumn("i", F.row_number().over(w.orderBy("example_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     sizes = items.groupBy("metric").agg(F.first("n").alias("n"), F.avg("difference").alias("mean"))
@@ -92,3 +90,26 @@ def sign_counts(rows: DataFrame, base: str, treatment: str) -> DataFrame:
     wide = means.groupBy("metric", "subset", "seed").agg(F.max(F.when(F.col("strategy") == base, F.col("v"))).alias("b"), F.max(F.when(F.col("strategy") == treatment, F.col("v"))).alias("t")).where("b IS NOT NULL AND t IS NOT NULL")
     same = F.abs(F.col("t") - F.col("b")) < 1e-12
     return wide.groupBy("metric").agg(F.count_if(~same & (F.col("t") > F.col("b"))).alias("higher"), F.count_if(same).alias("equal"), F.count_if(~same & (F.col("t") < F.col("b"))).alias("lower"))
+
+
+def seed_columns(seeds: DataFrame, values: list[int]) -> DataFrame:
+    """strategy, metric, one column seed_<n> for each of the given seeds (null without a run), n_runs, mean and sd.
+
+    Runs of one strategy and seed under several adapters are averaged. The seeds are given, so that columns don't depend on the data.
+    """
+    wide = seeds.where(F.col("seed").isin(*values)).groupBy("strategy", "metric").pivot("seed", values).agg(F.avg("value"))
+    wide = wide.withColumnsRenamed({str(v): f"seed_{v}" for v in values})
+    return strategy_metrics(seeds).join(wide, ["strategy", "metric"], "left").select("strategy", "metric", *[f"seed_{v}" for v in values], "n_runs", "mean", "sd")
+
+
+def seed_lists(seeds: DataFrame) -> DataFrame:
+    """strategy, metric, seeds: the seeds in order of the adapters, joined by commas."""
+    runs = F.array_sort(F.collect_set(F.struct("adapter", "seed")))
+    return seeds.groupBy("strategy", "metric").agg(F.array_join(F.transform(runs, lambda r: r["seed"].cast("string")), ",").alias("seeds"))
+
+
+def accuracy_summary(outputs: DataFrame) -> DataFrame:
+    """adapter, benchmark, n, accuracy: the mean of the one score that stands for each benchmark, over its scored outputs."""
+    s = F.col("score")
+    value = F.when(F.col("benchmark") == "ifeval", s["prompt_level_strict"]).when(F.col("benchmark") == "gsm8k", s["exact_match"]).when(F.col("benchmark") == "bbh", s["normalized_accuracy"])
+    return outputs.select("adapter", "benchmark", value.cast("double").alias("v")).where("v IS NOT NULL").groupBy("adapter", "benchmark").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("accuracy"))

@@ -40,12 +40,3 @@ def cluster_round_robin(df: DataFrame, group: str, cluster: str, score: str, ide
     """The diversity order: rank in cluster by score and seeded hash, then all first ranks by cluster, all second ranks, and so on."""
     best = [F.col(score).desc(), priority(seed, F.col(ident)).asc(), F.col(ident).asc()]
     return numbered(numbered(df, [group, cluster], best, "cluster_rank"), group, [F.col("cluster_rank").asc(), F.col(cluster).asc()])
-
-
-def clusters(df: DataFrame, vector: str, k: int, seed: int = 0) -> DataFrame:
-    """df with `cluster`, by k-means on an array column."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("_v")))
-    return model.transform(df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))).drop("_v")

@@ -91,10 +91,35 @@ def tertile_labels(df: DataFrame, score: str, ident: str) -> DataFrame:
     return df.crossJoin(F.broadcast(cuts)).withColumn("tertile", label).drop("_c1", "_c2")
 
 
+def audit_counts(sizes: DataFrame, key: str, size: str, total: int, seed: int) -> DataFrame:
+    """key, taken: the same number for each stratum, one more for the first ones by key while the rest of the division lasts, no more than
+    it has; what is then missing is dealt in rounds to those with rows left, in seeded order of the strata."""
+    every = Window.partitionBy()
+    df = sizes.withColumn("_k", F.count(F.lit(1)).over(every)).withColumn("_at", F.row_number().over(Window.orderBy(key)))
+    base = F.floor(F.lit(total) / F.col("_k")) + (F.col("_at") <= F.lit(total) % F.col("_k")).cast("bigint")
+    df = df.withColumn("_base", F.least(F.col(size), base)).withColumn("_rest", F.col(size) - F.col("_base")).withColumn("_total", F.lit(total) - F.sum("_base").over(every)).withColumn("_turn", priority(seed, F.col(key)))
+    return filled(df, [], ["_turn", key], "_rest", "_total", "_more").select(key, (F.col("_base") + F.col("_more")).alias("taken"))
+
+
 def audit_sample(df: DataFrame, source: str, score: str, ident: str, size: int, seed: int) -> DataFrame:
-    """ident, source, tertile, audit_id of a sample spread evenly over (source, tertile), refilled where strata are short, in random order."""
+    """ident, source, tertile, audit_id of a sample spread evenly over (source, tertile), in random order; all rows where there are fewer.
+
+    See audit_counts for the numbers of the strata.
+    """
     labelled = tertile_labels(df.select(ident, source, score), score, ident).withColumn("_stratum", F.concat_ws("|", source, "tertile"))
     have = labelled.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_size"))
-    picked = sample_groups(labelled, "_stratum", ident, water_fill(have, "_stratum", "_size", size), seed)
+    picked = sample_groups(labelled, "_stratum", ident, audit_counts(have, "_stratum", "_size", size, seed), seed)
     w = Window.orderBy(priority(seed + 1, F.col(ident)), ident)
     return picked.withColumn("audit_id", F.format_string("audit-%03d", F.row_number().over(w))).select(ident, source, "tertile", "audit_id")
+
+
+def family_counts(df: DataFrame, families: str) -> DataFrame:
+    """family, n: how many rows have each family; their number is the least size of a coverage sample."""
+    return df.select(F.explode(F.array_distinct(families)).alias("family")).where("family IS NOT NULL").groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rejoined(chosen: DataFrame, rows: DataFrame, ordinal: str) -> DataFrame:
+    """The rows at the chosen ordinals, in their order of columns; an ordinal that no row has is an error."""
+    got = chosen.select(F.col(ordinal).alias("_o")).distinct().join(rows.withColumn("_there", F.lit(True)), F.col("_o") == F.col(ordinal), "left")
+    found = F.assert_true(F.coalesce("_there", F.lit(False)), F.concat(F.lit("no row at "), F.coalesce(F.col("_o").cast("string"), F.lit("null"))))
+    return got.where(found.isNull()).select(*rows.columns)

@@ -98,7 +98,7 @@ SELECT metric, any_value(n) AS n, round(any_value(mean), 9) AS mean, round(quant
 SELECT metric, count(*) FILTER (t - b >= 1e-12) AS higher, count(*) FILTER (abs(t - b) < 1e-12) AS equal, count(*) FILTER (b - t >= 1e-12) AS lower FROM a WHERE b IS NOT NULL AND t IS NOT NULL GROUP BY metric""",
     "overlap_matrix": """WITH m AS (SELECT DISTINCT adapter, example_id FROM eval_outputs WHERE adapter IS NOT NULL AND example_id IS NOT NULL), n AS (SELECT DISTINCT adapter FROM eval_outputs WHERE adapter IS NOT NULL), p AS (SELECT x.adapter AS a, y.adapter AS b, count(*) AS c FROM m x JOIN m y USING (example_id) GROUP BY ALL)
 SELECT n.adapter AS a, o.adapter AS b, coalesce(c, 0)::BIGINT AS shared FROM n CROSS JOIN n o LEFT JOIN p ON p.a = n.adapter AND p.b = o.adapter""",
-    "agreement": f"WITH {JUDGED} SELECT dimension, count(*) AS n, round(avg((a = b)::INT), 9) AS exact, round(avg(abs(a - b)), 9) AS mean_difference, round(avg(a), 9) AS mean_a, round(avg(b), 9) AS mean_b, round(avg((a = 5)::INT), 9) AS share_at_most FROM ok GROUP BY dimension",
+    "agreement": f"WITH {JUDGED} SELECT dimension, count(*) AS n, round(avg((a = b)::INT), 9) AS exact, round(avg(abs(a - b)), 9) AS mean_difference, round(avg(a), 9) AS mean_a, round(avg(b), 9) AS mean_b, round(avg((a = 5)::INT), 9) AS share_at_most, round(avg(((a = 5)::INT + (b = 5)::INT) / 2), 9) AS share_at_most_both, array_to_string(list_sort(list_distinct(list_concat(list(a), list(b)))), ',') AS distinct_scores FROM ok GROUP BY dimension",
     "parse_states": "WITH rows AS (SELECT DISTINCT ON (audit_id) * FROM judge_results) SELECT CASE WHEN pass_a IS NULL THEN 'missing' WHEN coalesce(pass_a.parse_ok, false) THEN 'ok' ELSE 'failed' END AS state_a, CASE WHEN pass_b IS NULL THEN 'missing' WHEN coalesce(pass_b.parse_ok, false) THEN 'ok' ELSE 'failed' END AS state_b, count(*) AS n FROM rows GROUP BY 1, 2",
     "spearman": f"""WITH {JUDGED}, r AS (SELECT dimension, rank() OVER (PARTITION BY dimension ORDER BY a) + (count(*) OVER (PARTITION BY dimension, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY dimension ORDER BY b) + (count(*) OVER (PARTITION BY dimension, b) - 1) / 2.0::DOUBLE AS rb FROM ok)
 SELECT dimension, count(*) AS n, CASE WHEN count(*) >= 2 AND count(DISTINCT ra) > 1 AND count(DISTINCT rb) > 1 THEN round(corr(ra, rb), 9) END AS rho FROM r GROUP BY dimension""",
@@ -107,3 +107,152 @@ SELECT dimension, count(*) AS n, CASE WHEN count(*) >= 2 AND count(DISTINCT ra)
     "selection_summary": "",
 }
 ORACLES["selection_summary"] = ORACLES["greedy_take"].replace("SELECT source, doc_id FROM pass1 WHERE took UNION ALL SELECT source, doc_id FROM rest WHERE reached <= quota", "SELECT source, count(*) AS n_rows, sum(token_count)::BIGINT AS n_tokens FROM (SELECT source, doc_id FROM pass1 WHERE took UNION ALL SELECT source, doc_id FROM rest WHERE reached <= quota) JOIN docs USING (source, doc_id) GROUP BY source")
+
+# White space at either end is taken off, as Python does.
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+def _norm(c: str) -> str:
+    return f"trim(regexp_replace(lower({c}), '{SPACE}+', ' ', 'g'))"
+
+
+_SOLID = "[^" + SPACE[1:]
+_WORDS = r"[\p{L}\p{N}_]+"
+NUMBER = r"[-+]?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?"
+
+
+def _last(text: str, pattern: str, group: int = 0) -> str:
+    return f"list_last(regexp_extract_all({text}, '{pattern}', {group}))"
+
+
+def _number(text: str) -> str:
+    return f"replace(coalesce({_last(text, '####' + SPACE + '*(' + NUMBER + ')', 1)}, {_last(text, NUMBER)}), ',', '')"
+
+
+SCORED = "scored AS (SELECT DISTINCT output_id, benchmark, response, target FROM eval_outputs WHERE response IS NOT NULL AND target IS NOT NULL)"
+ORACLES["extract_number"] = f"WITH {SCORED} SELECT output_id, {_number('response')} AS answer, coalesce({_number('response')} = {_number('target')}, false) AS correct FROM scored WHERE benchmark = 'gsm8k'"
+_MARKS = "' .,:;!?' || chr(10)"
+_LINES = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+ORACLES["extract_option"] = f"""WITH {SCORED}, t AS (SELECT output_id, response, target AS given, {_strip('target')} AS target FROM scored WHERE benchmark = 'bbh'),
+parts AS (
+  SELECT *, trim({_norm('target')}, {_MARKS}) AS wording, {_norm('response')} AS said, {_last('response', '[(][A-Z][)]')} AS option,
+    '(' || upper({_last('response', '(?i)(?:answer|choice|option|final)' + SPACE + '*(?:is|:)?' + SPACE + '*[(]?([A-Z])[)]?', 1)}) || ')' AS worded,
+    {_last('response', '(?i)' + chr(92) + 'b(?:true|false)' + chr(92) + 'b')} AS truth,
+    list_last(list_filter(list_transform(regexp_split_to_array(response, '{_LINES}'), lambda x: {_strip('x')}), lambda x: x <> '')) AS tail
+  FROM t
+), answers AS (
+  SELECT output_id, given, CASE WHEN regexp_full_match(target, '[(][A-Z][)]') THEN coalesce(option, worded) WHEN target IN ('True', 'False') THEN upper(truth[1]) || lower(truth[2:])
+    WHEN wording <> '' AND contains(said, wording) THEN target ELSE trim(tail, ' .') END AS answer FROM parts
+) SELECT output_id, answer, coalesce(trim({_norm('answer')}, {_MARKS}) = trim({_norm('given')}, {_MARKS}), false) AS correct FROM answers"""
+ORACLES["evaluation_prompts"] = """SELECT benchmark, example_id, prompt || CASE benchmark WHEN 'gsm8k' THEN chr(10) || chr(10) || 'Solve the problem. End your final numeric answer with #### followed by the number.'
+WHEN 'bbh' THEN chr(10) || chr(10) || 'Return only the final answer. Do not add an explanation.' ELSE '' END AS asked FROM eval_items"""
+ORACLES["benchmark_snapshot"] = """SELECT printf('%s-%s-test-%04d', benchmark, config, row_number() OVER (PARTITION BY benchmark, config ORDER BY example_id) - 1) AS example_id, example_id AS was
+FROM (SELECT benchmark, example_id, CASE benchmark WHEN 'gsm8k' THEN 'main' ELSE subset END AS config FROM eval_items WHERE benchmark IN ('gsm8k', 'bbh'))"""
+ORACLES["instruction_families"] = "SELECT family, count(*) AS n FROM (SELECT unnest(list_distinct(instruction_id_list)) AS family FROM eval_items) WHERE family IS NOT NULL GROUP BY family"
+
+ATTEMPTS = f"""latest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY adapter, benchmark, example_id ORDER BY attempt DESC NULLS LAST, output_id DESC NULLS LAST) AS _r FROM eval_outputs WHERE adapter IS NOT NULL) WHERE _r = 1
+), items AS (SELECT benchmark, example_id, min(instruction_id_list) AS ins FROM eval_items WHERE benchmark IS NOT NULL AND example_id IS NOT NULL GROUP BY ALL),
+names AS (SELECT DISTINCT adapter FROM latest), sizes AS (SELECT benchmark, count(*) AS expected FROM items GROUP BY 1),
+checked AS (
+  SELECT a.adapter, a.benchmark, a.example_id, i.example_id IS NOT NULL AS known, a.response IS NULL OR NOT regexp_matches(a.response, '{_SOLID}') AS blank, {_count('a.response', TOKEN)} AS tokens, coalesce(CASE a.benchmark
+    WHEN 'ifeval' THEN score.prompt_level_strict IS NOT NULL AND score.prompt_level_loose IS NOT NULL AND score.instruction_level_strict IS NOT NULL AND score.instruction_level_loose IS NOT NULL
+      AND len(list_filter(score.instruction_level_strict, lambda x: x IS NULL)) = 0 AND len(list_filter(score.instruction_level_loose, lambda x: x IS NULL)) = 0
+      AND len(score.instruction_level_strict) = len(score.instruction_level_loose) AND (i.ins IS NULL OR len(score.instruction_level_strict) = len(i.ins))
+    WHEN 'gsm8k' THEN score.exact_match IS NOT NULL WHEN 'bbh' THEN score.normalized_accuracy IS NOT NULL END, false) AND score IS NOT NULL AS usable
+  FROM latest a LEFT JOIN items i ON i.benchmark = a.benchmark AND i.example_id = a.example_id
+), base AS (
+  SELECT adapter, benchmark, count(*) AS n_rows, count(*) FILTER (blank OR NOT usable) AS malformed, count(*) FILTER (blank) AS empty_responses,
+    count(*) FILTER (NOT blank AND usable AND tokens >= CASE benchmark WHEN 'ifeval' THEN 512 ELSE 128 END) AS possibly_cut,
+    min(tokens) FILTER (NOT blank AND usable)::INT AS min_tokens, avg(tokens) FILTER (NOT blank AND usable) AS mean_tokens, max(tokens) FILTER (NOT blank AND usable)::INT AS max_tokens, count(*) FILTER (NOT blank AND usable) AS scored
+  FROM checked GROUP BY ALL
+), ids AS (SELECT adapter, benchmark, example_id, count(*) AS n, bool_and(known) AS known FROM checked WHERE example_id IS NOT NULL GROUP BY ALL),
+of_ids AS (SELECT adapter, benchmark, count(*) AS ids, count(*) FILTER (n > 1) AS duplicate_ids, count(*) FILTER (NOT known) AS extra_ids, count(*) FILTER (known) AS found FROM ids GROUP BY ALL),
+files AS (
+  SELECT adapter, benchmark, coalesce(n_rows, 0) AS n_rows, expected, coalesce(ids, 0) AS ids, coalesce(duplicate_ids, 0) AS duplicate_ids, expected - coalesce(found, 0) AS missing_ids, coalesce(extra_ids, 0) AS extra_ids,
+    coalesce(malformed, 0) AS malformed, coalesce(empty_responses, 0) AS empty_responses, coalesce(possibly_cut, 0) AS possibly_cut, min_tokens, round(mean_tokens, 6) AS mean_tokens, max_tokens, coalesce(scored, 0) AS scored
+  FROM names CROSS JOIN sizes LEFT JOIN base USING (adapter, benchmark) LEFT JOIN of_ids USING (adapter, benchmark)
+), judged_files AS (SELECT *, n_rows = expected AND duplicate_ids = 0 AND missing_ids = 0 AND extra_ids = 0 AND malformed = 0 AS complete FROM files)"""
+ORACLES["validate_outputs"] = f"WITH {ATTEMPTS} SELECT * FROM judged_files"
+ORACLES["outputs_complete"] = f"WITH {ATTEMPTS} SELECT count(*) AS files, bool_and(complete) AS all_complete, sum(possibly_cut)::BIGINT AS possibly_cut, sum(scored)::BIGINT AS responses FROM judged_files"
+ORACLES["possible_cuts"] = f"WITH {ATTEMPTS} SELECT benchmark, sum(possibly_cut)::BIGINT AS possibly_cut, sum(scored)::BIGINT AS scored FROM files GROUP BY benchmark"
+ORACLES["faulty_ids"] = f"""WITH {ATTEMPTS} SELECT adapter, benchmark, example_id, 'duplicate' AS fault FROM ids WHERE n > 1 UNION ALL SELECT adapter, benchmark, example_id, 'extra' FROM ids WHERE NOT known
+UNION ALL SELECT adapter, benchmark, example_id, 'missing' FROM names CROSS JOIN items ANTI JOIN ids USING (adapter, benchmark, example_id)"""
+ORACLES["metrics_wide"] = f"""WITH {SEEDS} SELECT strategy, metric, round(avg(value) FILTER (seed = 13), 9) AS seed_13, round(avg(value) FILTER (seed = 42), 9) AS seed_42, round(avg(value) FILTER (seed = 2026), 9) AS seed_2026,
+round(avg(value), 9) AS mean, round(coalesce(stddev_samp(value), 0), 9) AS sd, count(*) AS n_runs FROM seeds GROUP BY strategy, metric"""
+ORACLES["seed_lists"] = f"WITH {SEEDS} SELECT strategy, metric, string_agg(seed::VARCHAR, ',' ORDER BY adapter, seed) AS seeds FROM (SELECT DISTINCT strategy, metric, adapter, seed FROM seeds) GROUP BY strategy, metric"
+ORACLES["accuracy_summary"] = f"""WITH {OUT}, v AS (SELECT adapter, benchmark, CASE benchmark WHEN 'ifeval' THEN score.prompt_level_strict WHEN 'gsm8k' THEN score.exact_match WHEN 'bbh' THEN score.normalized_accuracy END AS v FROM first)
+SELECT adapter, benchmark, count(*) AS n, round(avg(v::INT), 9) AS accuracy FROM v WHERE v IS NOT NULL GROUP BY ALL"""
+
+FIRST_JUDGED = "firsts AS (SELECT DISTINCT ON (audit_id) * FROM judge_results WHERE audit_id IS NOT NULL ORDER BY audit_id, example_id)"
+OVERALL = f"""{FIRST_JUDGED}, known AS (SELECT example_id, min((source, quality_score)) AS s FROM records GROUP BY 1),
+overalls AS (SELECT audit_id, coalesce(s[1], 'unknown') AS source, (pass_a.scores['overall_quality'] + pass_b.scores['overall_quality']) / 2 AS overall FROM firsts LEFT JOIN known USING (example_id) WHERE pass_a.parse_ok AND pass_b.parse_ok)"""
+ORACLES["judge_normal"] = f"""WITH {FIRST_JUDGED}, long AS (SELECT audit_id, 'a' AS pass, pass_a AS p FROM firsts WHERE pass_a IS NOT NULL UNION ALL SELECT audit_id, 'b', pass_b FROM firsts WHERE pass_b IS NOT NULL),
+kept AS (SELECT audit_id, pass, p, list_filter(map_entries(p.scores), lambda e: e.key IN ('correctness', 'instruction_following', 'clarity', 'self_containedness', 'overall_quality') AND e.value BETWEEN 1 AND 5) AS k,
+  CASE WHEN p.confidence BETWEEN 0 AND 1 THEN p.confidence END AS c FROM long)
+SELECT audit_id, pass, coalesce(len(k), 0) = 5 AND c IS NOT NULL AS parse_ok, coalesce(len(k), 0)::INT AS n_scores, coalesce(list_sum(list_transform(k, lambda e: e.value)), 0)::INT AS sum_scores, c AS confidence, coalesce(p.uncertain, false) AS uncertain FROM kept"""
+ORACLES["judge_sources"] = f"WITH {OVERALL} SELECT source, count(*) AS n, round(avg(overall), 9) AS mean_overall, coalesce(bool_and(overall = 5), false) AS at_maximum FROM overalls GROUP BY source"
+ORACLES["judge_distribution"] = f"WITH {OVERALL} SELECT overall, count(*) AS n, coalesce((SELECT min(overall) = 5 FROM overalls), false) AS degenerate FROM overalls GROUP BY overall"
+ORACLES["judge_structure"] = f"""WITH {FIRST_JUDGED}, known AS (SELECT example_id, bool_or(coalesce(list_contains(list_transform(messages, lambda m: m.role), 'user') AND list_contains(list_transform(messages, lambda m: m.role), 'assistant'), false)) AS roles,
+  bool_or(coalesce(len(list_filter(messages, lambda m: m.role = 'assistant' AND regexp_matches(m.content, '[^ {chr(92)}t-{chr(92)}r]'))) > 0, false)) AS said FROM records GROUP BY 1)
+SELECT count(*) AS items, count(DISTINCT f.example_id) AS unique_example_ids, count(k.example_id) AS records_found, count(*) FILTER (roles) AS with_both_roles, count(*) FILTER (said) AS with_answer FROM firsts f LEFT JOIN known k USING (example_id)"""
+ORACLES["audit_found"] = f"WITH {FIRST_JUDGED} SELECT count(*) AS items, count(*) FILTER (example_id IN (SELECT example_id FROM records WHERE example_id IS NOT NULL)) AS found FROM firsts"
+ORACLES["quality_statistics"] = """SELECT coalesce(source, 'unknown') AS source, count(*) AS n_rows, count(quality_score) AS n, round(avg(quality_score), 9) AS mean, round(median(quality_score), 9) AS median, round(min(quality_score), 9) AS least, round(max(quality_score), 9) AS most
+FROM records GROUP BY 1"""
+ORACLES["manifest_members"] = "SELECT count(DISTINCT adapter) AS manifests, count(*) AS n_rows, count(DISTINCT example_id) AS unique_ids, (SELECT count(*) FROM (SELECT example_id FROM eval_outputs WHERE example_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS repeated_ids FROM eval_outputs"
+ORACLES["manifest_repeats"] = "SELECT example_id, string_agg(strategy, ',' ORDER BY strategy) AS manifests, count(*) AS n FROM (SELECT DISTINCT strategy, example_id FROM eval_outputs WHERE example_id IS NOT NULL) GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 20"
+ORACLES["first_wins"] = "SELECT example_id, min(benchmark) AS benchmark FROM eval_items WHERE example_id IS NOT NULL AND benchmark IN ('bbh', 'gsm8k', 'ifeval') GROUP BY 1"
+
+RECOMPUTED = f"""r AS (SELECT example_id, source_row, quality_score AS stored, token_count, list_transform(messages, lambda m: {{'role': lower(trim(m.role)), 'content': coalesce(m.content, '')}}) AS ms FROM records WHERE messages IS NOT NULL AND token_count IS NOT NULL),
+texts AS (SELECT *, array_to_string(list_transform(ms, lambda m: m.content), ' ') AS text, array_to_string(list_transform(list_filter(ms, lambda m: m.role = 'assistant'), lambda m: m.content), ' ') AS said FROM r),
+parts AS (SELECT *, regexp_extract_all(lower(text), '[A-Za-z]+') AS w, list_histogram(regexp_extract_all(lower(text), '[A-Za-z]+')) AS h FROM texts),
+computed AS (SELECT example_id, source_row, stored, CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE round(
+  0.25::DOUBLE * (0.5::DOUBLE * least(1.0::DOUBLE, len(list_filter(w, lambda x: x IN {STOP})) / 4.0::DOUBLE) + 0.5::DOUBLE * least(1.0::DOUBLE, {_count('text', '[A-Za-z]')}::DOUBLE / greatest(1, {_count('text', _SOLID)})))
+  + 0.25::DOUBLE * least(1.0::DOUBLE, {_count('said', _WORDS)} / 80.0::DOUBLE) + 0.2::DOUBLE * CASE WHEN token_count BETWEEN 32 AND 1536 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END
+  + 0.2::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - coalesce(list_sum(list_transform(list_filter(map_values(h), lambda c: c > 3), lambda c: c - 1)), 0)::DOUBLE / greatest(1, len(w)))
+  + 0.1::DOUBLE * CASE WHEN contains(text, chr(0)) OR {_run('text', 10)} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END, 6) END AS computed FROM parts)"""
+ORACLES["quality_mismatches"] = f"WITH {RECOMPUTED} SELECT count(*) AS mismatches FROM computed WHERE abs(coalesce(stored, 0) - computed) > 1e-9"
+ORACLES["quality_mismatch_rows"] = f"WITH {RECOMPUTED} SELECT DISTINCT example_id, source_row, stored, computed FROM computed WHERE abs(coalesce(stored, 0) - computed) > 1e-9 ORDER BY example_id NULLS FIRST, source_row NULLS FIRST, stored NULLS FIRST LIMIT 20"
+
+_RANGES = [("AC00", "D7A3"), ("0E01", "0E5B"), ("0400", "044F"), ("0905", "097F"), ("0C95", "0CDE"), ("0A05", "0A33"), ("0A85", "0AF9"), ("0B85", "0BFA"), ("0985", "09FE"), ("0621", "06FF")]
+_LANGS = ["'ko'", "'th'", "CASE WHEN regexp_matches(text, '[ъьщю]') THEN 'bg' ELSE 'ru' END", "'hi'", "'kn'", "'pa'", "'gu'", "'ta'", "'bn'", "CASE WHEN regexp_matches(text, '[پچژگ]') THEN 'fa' ELSE 'ur' END"]
+_MARKER_SQL = [("de", "der die das und ist nicht ein"), ("it", "il lo la gli che una non"), ("pt", "que não uma para com dos das"), ("fi", "että ja on sekä tämä ovat"), ("vi", "và của là một những trong"), ("sw", "na ya kwa wa ni hii")]
+_CASES = " ".join(f"WHEN len(list_filter(letters, lambda c: c BETWEEN chr({int(a, 16)}) AND chr({int(b, 16)}))) > 0 THEN {lang}" for (a, b), lang in zip(_RANGES, _LANGS, strict=True))
+_SCORES = ", ".join(f"len(list_intersect(words, {v.split()!r})) AS n_{k}" for k, v in _MARKER_SQL)
+_MOST = "greatest(" + ", ".join(f"n_{k}" for k, _ in _MARKER_SQL) + ")"
+_TOP = " ".join(f"WHEN n_{k} = {_MOST} THEN '{k}'" for k, _ in _MARKER_SQL)
+ORACLES["language_guess"] = rf"""WITH l AS (SELECT doc_id, text, list_distinct(regexp_extract_all(text, '\p{{L}}')) AS letters, list_distinct(regexp_extract_all(lower(text), '[a-z\x{{C0}}-\x{{FF}}]+')) AS words FROM documents WHERE text IS NOT NULL),
+m AS (SELECT *, {_SCORES} FROM l)
+SELECT doc_id, CASE WHEN len(letters) = 0 THEN NULL {_CASES} WHEN {_MOST} = 0 THEN 'en' {_TOP} END AS language FROM m"""
+
+FLAGGED = f"""r AS (SELECT messages, array_to_string(list_transform(messages, lambda m: coalesce(m.content, 'None')), ' ') AS every, array_to_string(list_transform(list_filter(messages, lambda m: m.role = 'assistant'), lambda m: coalesce(m.content, 'None')), ' ') AS said FROM records)"""
+ORACLES["structural_flags"] = f"""WITH {FLAGGED}, f AS (SELECT
+  messages IS NOT NULL AS messages_is_list, coalesce(list_bool_and(list_transform(messages, lambda m: coalesce(lower(m.role) IN ('system', 'user', 'assistant') AND regexp_matches(m.content, '{_SOLID}'), false))), messages IS NOT NULL) AS valid_message_items,
+  list_contains(list_transform(messages, lambda m: lower(m.role)), 'user') AS has_user, list_contains(list_transform(messages, lambda m: lower(m.role)), 'assistant') AS has_assistant, lower(messages[-1].role) = 'assistant' AS assistant_last,
+  regexp_matches(said, '{_SOLID}') AS nonempty_assistant, contains(every, chr(0)) AS null_byte, {_run('every', 10)} AND messages IS NOT NULL AS long_repeated_character_run, {_count('said', _WORDS)} < 8 AND messages IS NOT NULL AS short_assistant_word_count FROM r)
+SELECT flag, n FROM (UNPIVOT (SELECT count(*) FILTER (messages_is_list) AS messages_is_list, count(*) FILTER (valid_message_items) AS valid_message_items, count(*) FILTER (has_user) AS has_user, count(*) FILTER (has_assistant) AS has_assistant,
+  count(*) FILTER (assistant_last) AS assistant_last, count(*) FILTER (nonempty_assistant) AS nonempty_assistant, count(*) FILTER (null_byte) AS null_byte, count(*) FILTER (long_repeated_character_run) AS long_repeated_character_run,
+  count(*) FILTER (short_assistant_word_count) AS short_assistant_word_count FROM f) ON COLUMNS(*) INTO NAME flag VALUE n) WHERE n > 0"""
+_SCRIPTS = ["ko", "th", "cyrillic", "hi", "kn", "pa", "gu", "ta", "bn", "arabic"]
+_SCRIPT_CASES = " ".join(rf"WHEN regexp_matches(text, '[\x{{{a}}}-\x{{{b}}}]') THEN '{k}'" for (a, b), k in zip(_RANGES, _SCRIPTS, strict=True))
+ORACLES["script_guess"] = rf"SELECT script, count(*) AS n FROM (SELECT CASE WHEN NOT regexp_matches(text, '\p{{L}}') THEN 'none' {_SCRIPT_CASES} END AS script FROM documents WHERE text IS NOT NULL) GROUP BY 1"
+ORACLES["audit_sample"] = """WITH r AS (SELECT example_id, min(source) AS source, max(quality_score) AS q FROM records WHERE source IS NOT NULL AND quality_score IS NOT NULL GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY q) - 1 AS i, count(*) OVER () AS n FROM r),
+c AS (SELECT min(q) FILTER (i = n // 3) AS c1, min(q) FILTER (i = 2 * n // 3) AS c2 FROM o), l AS (SELECT example_id, source, CASE WHEN q <= c1 THEN 'low' WHEN q <= c2 THEN 'mid' ELSE 'high' END AS tertile FROM r, c),
+h AS (SELECT source || '|' || tertile AS st, count(*) AS size FROM l GROUP BY 1), b AS (SELECT st, size, least(size, 120 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY st) <= 120 % count(*) OVER () THEN 1 ELSE 0 END) AS base FROM h),
+s AS (SELECT st, unnest(generate_series(1, size - base)) AS k FROM b), d AS (SELECT st, row_number() OVER (ORDER BY k, substr(sha256('2026:' || st), 1, 16), st) AS turn FROM s),
+t AS (SELECT b.st, base + coalesce(m, 0) AS taken FROM b LEFT JOIN (SELECT st, count(*) AS m FROM d WHERE turn <= 120 - (SELECT sum(base) FROM b) GROUP BY 1) USING (st)),
+p AS (SELECT l.*, row_number() OVER (PARTITION BY source || '|' || tertile ORDER BY substr(sha256('2026:' || example_id), 1, 16), example_id) AS k FROM l)
+SELECT example_id, source, tertile, printf('audit-%03d', row_number() OVER (ORDER BY substr(sha256('2027:' || example_id), 1, 16), example_id)) AS audit_id FROM p JOIN t ON t.st = p.source || '|' || p.tertile WHERE k <= taken"""
+
+LATE = f"""texts AS (SELECT doc_id, coalesce(crawled_at >= TIMESTAMPTZ '2025-05-01 00:00:00+00', false) AS late, {_norm('text')} AS norm FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)"""
+ORACLES["exact_overlap_late"] = f"WITH {LATE}, e AS (SELECT norm, max(doc_id) AS eval_id FROM texts WHERE late AND norm <> '' GROUP BY 1) SELECT doc_id AS train_id, eval_id FROM texts JOIN e USING (norm) WHERE NOT late"
+_VOTES = """x AS (SELECT i, side, l, len(s) AS c, unnest(s) AS g FROM (SELECT i, side, length(norm) AS l, list_distinct(list_transform(generate_series(1, greatest(length(norm) - 4, 1)), lambda k: substr(norm, k, 5))) AS s FROM sides WHERE norm <> '')),
+v AS (SELECT a.i AS train_id, b.i AS eval_id, a.c AS ca, b.c AS cb, count(*) AS votes FROM x a JOIN x b ON a.g = b.g AND NOT a.side AND b.side AND greatest(a.l, b.l) <= 1.5 * greatest(1, least(a.l, b.l)) GROUP BY ALL)
+SELECT train_id, eval_id, votes, round(votes::DOUBLE / (ca + cb - votes), 9) AS jaccard FROM v WHERE votes::DOUBLE / (ca + cb - votes) >= 0.35"""
+ORACLES["candidate_votes_late"] = f"WITH {LATE}, sides AS (SELECT doc_id AS i, late AS side, norm FROM texts), {_VOTES}"
+ORACLES["candidate_votes_train"] = f"""WITH sides AS (SELECT DISTINCT example_id AS i, false AS side, {_norm("array_to_string(list_transform(list_filter(messages, lambda m: lower(trim(m.role)) = 'user'), lambda m: coalesce(m.content, '')), chr(10))")} AS norm FROM records WHERE messages IS NOT NULL
+UNION ALL SELECT benchmark || '/' || example_id, true, {_norm('prompt')} FROM eval_items), {_VOTES}"""
+_POOL = f"""{CANON}, named AS (SELECT *, sha256(to_json(list_transform(ms, lambda m: {{'content': m.content, 'role': m.role}}))::VARCHAR) AS example_id FROM valid),
+pool AS (SELECT example_id, arg_min({{'source': source, 'source_row': source_row, 'tokens': tokens, 'ms': ms}}, (source, source_row)) AS b FROM named GROUP BY 1)"""
+ORACLES["select_totals"] = f"WITH {_POOL} SELECT k.strategy, least(40000, sum(b.tokens))::BIGINT AS actual_tokens, 40000::BIGINT AS target_tokens, sum(b.tokens) >= 40000 AS exact FROM pool, (VALUES ('random'), ('quality'), ('diversity')) k(strategy) GROUP BY k.strategy"
