@@ -16,11 +16,11 @@ def _run(text: str, n: int) -> str:
 
 
 STOP = "('a','an','and','are','for','from','how','in','is','of','please','the','to','what','why','with')"
-DOCS = f"docs AS (SELECT doc_id, source, lang, text, {_count('text', TOKEN)}::BIGINT AS token_count FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)"
+DOCS = f"docs AS (SELECT doc_id, coalesce(source, 'unknown') AS source, lang, text, {_count('text', TOKEN)}::BIGINT AS token_count FROM documents WHERE text IS NOT NULL)"
 CAPPED = f"{DOCS}, capped AS (SELECT source, doc_id, token_count FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY substr(sha256('0:' || doc_id), 1, 16), doc_id) AS n FROM docs WHERE token_count > 0) WHERE n <= 100)"
 QUOTAS = """totals AS (SELECT source, sum(token_count)::HUGEINT AS t FROM docs GROUP BY source), shares AS (SELECT source, (100000 * t) // (SELECT sum(t) FROM totals)::HUGEINT AS f, (100000 * t) % (SELECT sum(t) FROM totals)::HUGEINT AS r FROM totals),
 quotas AS (SELECT source, (f + CASE WHEN row_number() OVER (ORDER BY r DESC, source) <= 100000 - sum(f) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM shares)"""
-OUT = "first AS (SELECT adapter, benchmark, example_id, unnest(b) FROM (SELECT adapter, benchmark, example_id, arg_min({'strategy': strategy, 'seed': seed, 'subset': subset, 'score': score}, output_id) AS b FROM eval_outputs WHERE example_id IS NOT NULL GROUP BY ALL))"
+OUT = "first AS (SELECT DISTINCT ON (output_id) adapter, strategy, seed, benchmark, subset, example_id, score FROM eval_outputs WHERE example_id IS NOT NULL ORDER BY output_id)"
 ROWS = f"""{OUT}, long AS (
   SELECT adapter, strategy, seed, benchmark, subset, example_id, unnest([
     {{'metric': 'prompt_strict', 'value': score.prompt_level_strict::INT::DOUBLE}}, {{'metric': 'instruction_strict', 'value': list_avg(list_transform(score.instruction_level_strict, lambda x: coalesce(x::INT::DOUBLE, 0.0::DOUBLE)))}},
@@ -94,6 +94,7 @@ SELECT CASE WHEN v <= c1 THEN 'low' WHEN v <= c2 THEN 'mid' ELSE 'high' END AS t
     "paired_bootstrap": f"""WITH {PAIRED}, items AS (SELECT metric, difference, row_number() OVER (PARTITION BY metric ORDER BY example_id) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM paired), sizes AS (SELECT metric, any_value(n) AS n, avg(difference) AS mean FROM items GROUP BY metric),
 draws AS (SELECT metric, n, rep, unnest(generate_series(0, n - 1)) AS k FROM sizes, range(1000) r(rep)), m AS (SELECT d.metric, d.rep, avg(difference) AS m FROM draws d JOIN items i ON i.metric = d.metric AND i.i = ('0x' || substr(md5(d.rep || ':' || d.k), 1, 8))::BIGINT % d.n GROUP BY ALL)
 SELECT metric, any_value(n) AS n, round(any_value(mean), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m JOIN sizes USING (metric) GROUP BY metric""",
+    "bootstrap_contrasts": "",
     "sign_counts": f"""WITH {ROWS}, a AS (SELECT metric, subset, seed, avg(value) FILTER (strategy = 'random') AS b, avg(value) FILTER (strategy = 'diversity') AS t FROM metric_rows WHERE strategy IN ('random', 'diversity') GROUP BY ALL)
 SELECT metric, count(*) FILTER (t - b >= 1e-12) AS higher, count(*) FILTER (abs(t - b) < 1e-12) AS equal, count(*) FILTER (b - t >= 1e-12) AS lower FROM a WHERE b IS NOT NULL AND t IS NOT NULL GROUP BY metric""",
     "overlap_matrix": """WITH m AS (SELECT DISTINCT adapter, example_id FROM eval_outputs WHERE adapter IS NOT NULL AND example_id IS NOT NULL), n AS (SELECT DISTINCT adapter FROM eval_outputs WHERE adapter IS NOT NULL), p AS (SELECT x.adapter AS a, y.adapter AS b, count(*) AS c FROM m x JOIN m y USING (example_id) GROUP BY ALL)
@@ -106,6 +107,8 @@ SELECT dimension, count(*) AS n, CASE WHEN count(*) >= 2 AND count(DISTINCT ra)
     "stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "selection_summary": "",
 }
+_CONTRAST = ORACLES["paired_bootstrap"].replace("range(1000)", "range(10000)")
+ORACLES["bootstrap_contrasts"] = "\nUNION ALL\n".join(f"SELECT *, '{t}' AS treatment FROM ({_CONTRAST.replace(chr(39) + 'diversity' + chr(39), chr(39) + t + chr(39))})" for t in ("quality", "diversity"))
 ORACLES["selection_summary"] = ORACLES["greedy_take"].replace("SELECT source, doc_id FROM pass1 WHERE took UNION ALL SELECT source, doc_id FROM rest WHERE reached <= quota", "SELECT source, count(*) AS n_rows, sum(token_count)::BIGINT AS n_tokens FROM (SELECT source, doc_id FROM pass1 WHERE took UNION ALL SELECT source, doc_id FROM rest WHERE reached <= quota) JOIN docs USING (source, doc_id) GROUP BY source")
 
 # White space at either end is taken off, as Python does.

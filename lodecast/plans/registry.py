@@ -32,8 +32,8 @@ def _texts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    """The documents of _texts that have a source."""
-    return _texts(s, d).where("source IS NOT NULL")
+    """All documents of _texts; those without a source have the source `unknown`."""
+    return _texts(s, d).withColumn("source", F.coalesce("source", F.lit("unknown")))
 
 
 def _capped(s: SparkSession, d: str) -> DataFrame:
@@ -166,7 +166,7 @@ def _agreement(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "pool_strata": lambda s, d: pool.stratum_totals(pool.first_of_equal(messages.candidate_rows(table(s, d, "records")).select("example_id", "source", "source_row", "stratum", "token_count"), "example_id", ["source", "source_row"])),
-    "doc_quality": lambda s, d: _quality(_docs(s, d)),
+    "doc_quality": lambda s, d: _quality(_texts(s, d)),
     "doc_quality_all": lambda s, d: _quality(_texts(s, d)),
     "dedup_first": lambda s, d: pool.first_of_equal(_docs(s, d).select(F.sha2("text", 256).alias("h"), "source", "doc_id"), "h", ["source", "doc_id"]),
     "capped_pool": lambda s, d: _capped(s, d).select("source", "doc_id", "token_count"),
