@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodecast.llm import textstats, tongues
+from lodecast.llm import refusals, textstats, tongues
 from lodecast.runtime import ship_by_value
 
 ship_by_value(__name__)
@@ -21,38 +21,12 @@ STAND_INS = frozenset(
     "answer missing|response missing|text missing|missing answer|missing response|missing text|answer pending|to be done|to be determined|to be announced|not available|not provided|not applicable|not answered|"
     "empty answer|empty response|answer here|response here|insert answer|insert answer here|answer goes here|your answer here|left blank|intentionally left blank|no answer given|no answer provided|keine antwort|sans réponse|sin respuesta|fehlt|vide|vacío|xxx|###".split("|")
 )
-# Sentences that decline, as words; `*` stands for up to four words of any kind.
-REFUSALS = tuple(
-    tuple(x.split())
-    for x in (
-        "i cannot comply|i can not comply|i have to decline|i must decline|i decline to answer|i have to refuse|i must refuse|i refuse to answer|i would rather not answer that|i would rather not answer|i prefer not to answer|i must leave this one unanswered|"
-        "i cannot help with that|i can't help with that request|i can't help with that|i am unable to help with that|i am not able to help with that|i cannot assist with that|i can't assist with that|i am unable to assist with that|i cannot answer that|i can't answer that|"
-        "i cannot answer this question|i am unable to answer|i am not able to answer|i am not able to write this text|i cannot write this text|i can't write this|i am unable to write this text|i cannot do that|i can't do that|i won't be producing this|i will not be producing this|i won't answer that|i will not answer that|"
-        "i cannot provide that|i can't provide that|i am unable to provide that|i am unable to fulfil this request|i cannot fulfil this request|i can't fulfil this request|i cannot fulfill this request|i am unable to comply|no answer will be given here|no answer will be given|"
-        "this is not something i can do|that is not something i can do|this falls outside of what i can assist with|this is outside of what i can assist with|as a language model i have no way to do that|as a language model i cannot|as an ai i cannot|as an ai language model i cannot|as a language model i am unable to|"
-        "my guidelines do not let me respond to it|my guidelines do not allow me to answer|it is against my guidelines|i am not allowed to answer|i am not permitted to answer|i don't feel comfortable answering|i have no way to do that|"
-        "es tut mir leid dabei kann ich nicht helfen|dabei kann ich nicht helfen|diese anfrage muss ich leider ablehnen|ich muss diese anfrage ablehnen|als sprachmodell ist mir das nicht möglich|das ist mir nicht möglich|ich kann diese frage nicht beantworten|darauf möchte ich lieber nicht antworten|dazu möchte ich nichts sagen|das kann ich nicht beantworten|dazu möchte ich mich nicht äußern|ich kann ihnen dabei nicht helfen|ich darf darauf nicht antworten|"
-        "désolé je ne peux pas vous aider sur ce point|je ne peux pas vous aider|je dois refuser cette demande|je préfère ne pas répondre à cela|en tant que modèle de langage cela ne m'est pas possible|je ne peux pas répondre à cette question|je ne suis pas en mesure de répondre|cela ne m'est pas possible|"
-        "lo siento no puedo ayudar con eso|no puedo ayudar con eso|tengo que rechazar esta petición|como modelo de lenguaje no me es posible hacerlo|prefiero no responder a esto|no puedo responder a esta pregunta|no me es posible hacerlo|no estoy en condiciones de responder|debo rechazar esta solicitud|"
-        "mi dispiace non posso aiutarla con questo|non posso aiutarti con questo|devo rifiutare questa richiesta|preferisco non rispondere|lamento não posso ajudar com isso|não posso ajudar com isso|het spijt me daar kan ik niet bij helpen"
-    ).split("|")
-)
-# Openings and closings around a refusal that answer nothing.
-AROUND = tuple(
-    tuple(x.split())
-    for x in (
-        "you would like to know more about *|thank you for asking|thank you for your question|thanks for asking|i understand this matters to you|i understand your request|i hope you understand|is there anything else i can do for you|please ask somebody who works with * instead|"
-        "please ask someone else|it might be unsafe to say more about *|feel free to rephrase your message without *|feel free to ask something else|perhaps a different question about * would suit me better|i'm sorry|i am sorry|i apologise|i apologize|sorry about that|let me know if i can help with something else|"
-        "veuillez demander à quelqu'un d'autre|consulte a otra persona|bitte fragen sie jemand anderen|wenden sie sich bitte an jemand anderen|hm|sadly|regrettably|unfortunately"
-    ).split("|")
-)
-
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
-_SENTENCE = re.compile(r"(?<=[.!?。！？])[\"”’»)]*\s+|\n+")
 _INVISIBLE = re.compile(r"[\s​-‏⁠﻿­ᅠㅤ]+")
-#: What stands after a cut, once the text has stopped.
-CUT_MARK = re.compile(r"(?:\s*(?:\[\s*(?:…|\.{2,}|truncated|cut(?: off)?|continued|snip)\s*\]|<\s*(?:cut|truncated|snip|…|\.{3})\s*>|\(\s*(?:…|\.{3}|truncated|cut(?: off)?|continued)\s*\)|\\u?[0-9a-fA-F]{0,4}|�+|…|\.{3,}|[(\[{<«“„]+))+\s*$", re.I)
+#: One mark that stands after a cut, once the text has stopped; none is longer than END characters.
+CUT_MARK = re.compile(r"(?:\[\s{0,4}(?:…|\.{2,9}|truncated|cut(?: off)?|continued|snip)\s{0,4}\]|<\s{0,4}(?:cut|truncated|snip|…|\.{3})\s{0,4}>|\(\s{0,4}(?:…|\.{3}|truncated|cut(?: off)?|continued)\s{0,4}\)|\\u?[0-9a-fA-F]{0,4}|�|…|\.{3}|[(\[{<«“„])$", re.I)
+END = 24
 _ENDED = re.compile(r"[.!?。！？।؟…][\"'”’»)\]*_`“]*$")
 _ANY_END = re.compile(r"[.!?。！？।؟](?:[\"'”’»)\]*_`]*\s|$)|[。！？।]")
 _ITEM_LINE = re.compile(r"\s*(?:[-*•–·+]|\d{1,3}[.)]|[A-Za-z][.)]|\[[ xX]?\])\s+\S")
@@ -97,7 +71,7 @@ def is_empty(answer: str | None) -> bool:
     inner = s.strip(" .…-—–_*<>[](){}|/\\\"'`:!?#=~").lower()
     if not inner:
         return len(s) <= 6
-    return len(s) <= 60 and re.sub(r"[\s_]+", " ", inner) in STAND_INS
+    return re.sub(r"[\s_]+", " ", inner) in STAND_INS
 
 
 def is_echo(question: list[str], answer: list[str], least: float = 0.8) -> bool:
@@ -121,58 +95,11 @@ def is_echo(question: list[str], answer: list[str], least: float = 0.8) -> bool:
     times = max(1, round(len(answer) / max(1, len(question))))
     common = sum(min(n, bag[w] * times) for w, n in Counter(answer).items())
     size = max(1, len(answer) - min(6, max(0, len(answer) // 5)) if common < least * len(answer) else len(answer))
-    if longest_common(answer, question * min(times, 3)) >= least * size:
+    if longest_common(answer, question * times) >= least * size:
         return True
     return common >= least * size and inside >= 0.5
 
 
-def prepared(templates: tuple) -> list[tuple[list[str], frozenset, int, int]]:
-    """Of each template its fixed words, their set, how many must be found, and the length of the stretch that holds them."""
-    out = []
-    for t in templates:
-        fixed = [w for w in t if w != "*"]
-        long = len(fixed) >= 5
-        out.append((fixed, frozenset(fixed), -(-len(fixed) * 4 // 5) if long else len(fixed), len(fixed) + 5 * t.count("*") + long))
-    return out
-
-
-_REFUSALS, _AROUND = prepared(REFUSALS), prepared(AROUND)
-
-
-def aligned(words: list[str], templates: list) -> bool:
-    """Whether a sentence holds a template: four fifths of its words (all of a short one) as a common subsequence in a stretch hardly longer."""
-    have = set(words)
-    for fixed, kinds, need, width in templates:
-        if len(kinds & have) >= need - (len(fixed) - len(kinds)):
-            for s in range(max(1, len(words) - width + 1)):
-                if longest_common(fixed, words[s : s + width]) >= need:
-                    return True
-    return False
-
-
-_HINTS = frozenset("able möchte comment write cannot can't comply decline refuse unanswered unable guidelines outside model ai answer rather producing something sorry helfen ablehnen sprachmodell beantworten antworten aider refuser répondre modèle possible rechazar ayudar responder lenguaje posible aiutarla aiutarti rifiutare rispondere ajudar lamento spijt allowed permitted help assist möglich condiciones".split())
-
-
-def is_refusal(answer: str, words: list[str] | None = None) -> bool:
-    """Whether an answer declines and says nothing else: a refusing sentence, and beside it hardly more than courtesies."""
-    words = tokens(answer) if words is None else words
-    if len(words) > 90 or not _HINTS & set(words):
-        return False
-    refused, rest = False, 0
-    for sentence in _SENTENCE.split(answer):
-        w = tokens(sentence)
-        if not w:
-            continue
-        left = w
-        if aligned(w, _REFUSALS):
-            refused = True
-            left = w[min(len(w), 24) :]
-        elif aligned(w, _AROUND):
-            left = w[min(len(w), 24) :]
-        rest += len(left)
-    return refused and rest <= 12
-
-
 def is_foreign(question: str | None, answer: str, asked: list[str], words: list[str], context: str = "") -> bool:
     """Whether an answer is mainly in a language that is neither the question's nor named in it."""
     mine = tongues.main_language(answer, words=words)
@@ -183,9 +110,12 @@ def is_foreign(question: str | None, answer: str, asked: list[str], words: list[
 
 
 def without_mark(body: str) -> str:
-    """The text without what stands after its cut; the marks are short, so that only the end is searched for them."""
-    m = CUT_MARK.search(body, max(0, len(body) - 60))
-    return body[: m.start()].rstrip() if m else body
+    """The text without what stands after its cut: marks are taken off its end one by one, however many there are."""
+    while body and (m := CUT_MARK.search(body, max(0, len(body) - END))):
+        body = body[: m.start()].rstrip()
+        if body.endswith(".") and m.group() == "...":
+            body = body.rstrip(".")
+    return body
 
 
 def is_cut(answer: str) -> bool:
@@ -230,7 +160,7 @@ def defect(question: str | None, answer: str | None, context: str = "") -> str |
     if is_empty(answer):
         return "empty"
     words = tokens(answer)
-    if is_refusal(answer, words):
+    if refusals.is_refusal(answer, tokens, len(words)):
         return "refusal"
     asked = tokens(question or "")
     if is_echo(asked, words):

@@ -23,6 +23,27 @@ FUNCTION_WORDS = {
     "pl": "i w na z do że się nie jest to o jak po co ale za od dla był przez był przed tym już tylko który są bez gdy",
     "tr": "ve bir bu da de için ile çok daha ne kadar sonra gibi olan olarak her o ki ama değil en var",
 }
+# The same for further languages. They are asked only where none of the above is found.
+FURTHER_WORDS = {
+    "cs": "a v na se že je to s z do o i ale jak pro za by si co po k byl jsem od jeho podle nebo které který která jsou bylo již až při tak když jen ještě jako před také však než může byla jsme ve ze není pak kde byly jejich všechny den pod",
+    "sk": "a v na sa že je to s z do o i ale ako pre za by si čo po k bol som od jeho podľa alebo ktoré ktorý ktorá sú bolo už až pri tak keď len ešte pred tiež však než môže bola sme nie zo vo kde boli všetky deň pod",
+    "fi": "ja on ei että se hän oli mutta joka ovat kun niin myös kuin tai jos sen hänen olla vain jo ole mitä voi sitä tämä ne siitä nyt kanssa mukaan sekä jälkeen ennen kaikki minä sinä tämän tässä siellä olivat eivät sitten vielä",
+    "hu": "a az és hogy nem is egy ez meg de csak már volt van mint még ha azt vagy ki el mert kell lehet után minden akkor ezt több nagyon között lesz aki amely voltak ott itt ahol majd",
+    "ro": "și în de la cu nu o un că pe se din care este mai pentru a fi au fost sau dar ca după prin lui sunt până când fără între numai această acest ei era unde foarte toate apoi",
+    "da": "og i at det er en til på som af med de for den ikke der var et har han men sig fra vi jeg kan hun nu over da skal eller efter blev når mod også hvor alle før",
+    "no": "og i det er en til på som av med de for den ikke har var et at han men seg fra vi jeg kan hun nå over da skal eller etter ble når mot også fordi være hvor alle før",
+    "id": "yang dan di dengan untuk tidak ini dari dalam itu akan pada juga saya ke ada adalah karena kami mereka bisa atau oleh sudah telah dia kita sebagai tetapi lebih bahwa harus setelah sebelum semua para lagi",
+    "vi": "và của là có không một những trong được cho các với người này để đã khi về tôi như đến thì ở nhưng cũng hay rất phải từ ra đó sau trước",
+    "hr": "i u je na da se za su od s ne što kao iz ali do po bi koji koja koje nije sam će ili bio bila sve tako još samo kako kad prije nakon zbog bili gdje",
+    "sl": "in je na v da se za so z ne ki po pa s od iz ali kot bi do tudi še pri bil bila kako vse le če ker lahko pred bili kjer",
+    "lt": "ir yra kad su į iš ne tai bet kaip ar jis buvo o po už nuo dar jau tik labai prie per kai kurie būti jie ant visi prieš",
+    "et": "ja on ei et see ta ka kui oli oma aga mis ning või siis veel nii ma selle mille kes pärast enne väga ole olla olid kõik",
+    "ca": "el la els les de i a en que és un una per amb no es al del més com però ha són aquest aquesta ja també van hi seva dels quan fins sense molt després abans",
+    "sw": "na ya wa kwa ni za katika la kuwa hii si cha yake kama au lakini watu hiyo huo alikuwa baada kabla pia sana kutoka mtu wote",
+    "tl": "ang ng sa na ay mga at ni hindi ito para siya ko si may kung isang nang kanyang niya ako ka pa rin lamang din kanilang",
+    "sq": "dhe në të e që një për me nuk i është nga si por ka u më janë kjo ky pas para shumë ishte kur",
+    "af": "die en van in het is nie wat te dat sy hy met vir op was aan ek hulle ons maar ook sal toe baie na",
+}
 SCRIPTS = {
     "ja": r"[぀-ヿ]", "ko": r"[가-힣ᄀ-ᇿ]", "zh": r"[一-鿿㐀-䶿]", "ru": r"[Ѐ-ԯ]", "el": r"[Ͱ-Ͽ]",
     "ar": r"[؀-ۿݐ-ݿ]", "he": r"[֐-׿]", "hi": r"[ऀ-ॿ]", "bn": r"[ঀ-৿]", "ta": r"[஀-௿]", "te": r"[ఀ-౿]", "th": r"[฀-๿]",
@@ -36,6 +57,9 @@ NAMES = {
     "es": "spanish spanisch espagnol español spagnolo espanhol spaans castellano", "it": "italian italienisch italien italiano italiaans", "pt": "portuguese portugiesisch portugais portugués portoghese português portugees",
     "nl": "dutch niederländisch holländisch néerlandais neerlandés olandese holandês nederlands", "sv": "swedish schwedisch suédois sueco", "pl": "polish polnisch polonais polaco", "tr": "turkish türkisch turc turco",
     "ja": "japanese japanisch japonais japonés giapponese japonês", "ko": "korean koreanisch coréen coreano", "zh": "chinese mandarin chinesisch chinois chino cinese chinês", "ru": "russian russisch russe ruso russo",
+    "cs": "czech tschechisch tchèque checo ceco", "sk": "slovak slowakisch slovaque eslovaco", "fi": "finnish finnisch finnois finlandés", "hu": "hungarian ungarisch hongrois húngaro", "ro": "romanian rumänisch roumain rumano", "da": "danish dänisch danois danés", "no": "norwegian norwegisch norvégien noruego",
+    "id": "indonesian indonesisch indonésien indonesio", "vi": "vietnamese vietnamesisch vietnamien vietnamita", "hr": "croatian serbian bosnian kroatisch serbisch croate serbe croata serbio", "sl": "slovenian slovene slowenisch slovène esloveno", "lt": "lithuanian litauisch lituanien lituano", "et": "estonian estnisch estonien estonio",
+    "ca": "catalan katalanisch catalán", "sw": "swahili kiswahili", "tl": "tagalog filipino", "sq": "albanian albanisch albanais albanés", "af": "afrikaans",
     "el": "greek griechisch grec griego greco grego", "ar": "arabic arabisch arabe árabe arabo", "he": "hebrew hebräisch hébreu hebreo", "hi": "hindi", "bn": "bengali", "ta": "tamil", "te": "telugu", "th": "thai",
 }
 
@@ -43,6 +67,9 @@ _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _ALL = Counter(w for s in _SETS.values() for w in s)
 #: (language, weight) of each function word: a word of several languages counts for each in part.
 _HITS = {w: tuple((k, 1 / n) for k, s in _SETS.items() if w in s) for w, n in _ALL.items()}
+_WIDE = {**_SETS, **{k: frozenset(v.split()) for k, v in FURTHER_WORDS.items()}}
+#: Letter trigrams of each language's words, blanks around them.
+_GRAMS = {k: frozenset(g for w in v for g in (f" {w} "[i : i + 3] for i in range(len(w)))) for k, v in _WIDE.items()}
 _SCRIPTS = {k: re.compile(v) for k, v in SCRIPTS.items()}
 _NAMED = {n: k for k, v in NAMES.items() for n in v.split()}
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -88,24 +115,55 @@ def main_language(text: str | None, least: float = 0.08, words: list[str] | None
     """The language in which a text is mainly written, or None where its words tell of none.
 
     Of texts in Latin letters it is the language of which most function words are found, if these are at least `least`
-    of all words and clearly more than those of any other; words of other scripts count as such.
+    of all words and clearly more than those of any other; where none is, one of the further languages by function words
+    and letter trigrams. Words of other scripts count as such.
     """
     if not text:
         return None
     total, found = word_shares(text, [w for w in words if not w[0].isdigit()] if words is not None else None)
-    if not total or not found:
+    if not total:
         return None
     latin = {k: v for k, v in found.items() if k in _SETS}
     other = {k: v for k, v in found.items() if k not in _SETS}
     foreign = sum(other.values())
     if foreign * 2 > total:
         return max(other, key=lambda k: (other[k], k))
+    plain_words = letters_only(text) if words is None else words
     if not latin:
-        return None
+        return further_language(plain_words) if not other else None
     ranked = sorted(latin.items(), key=lambda x: (-x[1], x[0]))
     best, hits = ranked[0]
     rest = total - foreign
     if hits < least * rest or hits < 2 or len(ranked) > 1 and ranked[1][1] > 0.9 * hits:
+        return further_language(plain_words)
+    # One or two different words may be those of another language.
+    if len(_SETS[best].intersection(plain_words)) < 3:
+        return further_language(plain_words) or best
+    return best
+
+
+def further_language(words: list[str], least: float = 0.18, margin: float = 1.25) -> str | None:
+    """One of FURTHER_WORDS' languages in which lower-case words are mainly written, or None.
+
+    A word counts 1 for a language of whose function words it is, else a third of the share of its letter trigrams that
+    stand in that language's function words. The best language must hold at least four different function words, `least` of
+    all words, and lead every language of FUNCTION_WORDS by the margin; between further ones the better one wins.
+    """
+    counts = Counter(w for w in words if not w[0].isdigit())
+    total = sum(counts.values())
+    if total < 6:
+        return None
+    scores: dict[str, float] = {}
+    for k, held in _WIDE.items():
+        mine = counts.keys() & held
+        if k not in _SETS and (len(mine) < 4 or sum(counts[w] for w in mine) < least * total):
+            continue
+        grams, score = _GRAMS[k], 0.0
+        for w, n in counts.items():
+            score += n if w in held else n / 3 * sum(f" {w} "[i : i + 3] in grams for i in range(len(w))) / len(w)
+        scores[k] = score
+    best = max((k for k in scores if k not in _SETS), key=lambda k: (scores[k], k), default=None)
+    if best is None or scores[best] < margin * max(scores[k] for k in _SETS):
         return None
     return best
 

@@ -39,7 +39,7 @@ FROM (
 # Tokens of a text, made by replacing and splitting whole texts: ␝ is the start of a list entry, ␞ the end of a line or an
 # ellipsis, ␟ a sentence mark, 0 a number, all else a word; c in lower case, h as shapes (⊔ a long word with a capital, ⊓ a long one).
 TOKENS = r"""
-SELECT output_id, verse, split(trim(s), ' ') AS t, split(lower(trim(s)), ' ') AS c,
+SELECT output_id, verse, element_at(split(trim(s), ' '), -1) AS written, split(lower(trim(s)), ' ') AS c,
   split(lower(trim(regexp_replace(regexp_replace(s, r'(?<![^ ])\p{Lu}[^ ]{3,}', '⊔'), r'(?<![^ ])[^ ]{4,}', '⊓'))), ' ') AS h
 FROM (
   SELECT output_id, NOT sentences AND lines AS verse,
@@ -51,14 +51,14 @@ FROM (
 
 # Each word beside the five tokens before it, the next one, and the shapes of the last three; arrays are shifted against each other, so that no function is called for each element.
 WORDS = r"""
-SELECT output_id, last, word, follows, first_of_line,
+SELECT output_id, last, word, written, follows, first_of_line,
   translate(concat(if(p1 IN ('␝', '␞', '␟'), '', p2), ' ', p1, ' '), '␟', '␞') AS ahead, translate(concat(p3, ' ', p2, ' ', p1), '␟', '␞') AS before,
   translate(concat(CASE WHEN '␝' IN (p1, p2, p3, p4, p5) THEN 'L' WHEN verse THEN 'V' ELSE 'P' END, ' ', if(p1 IN ('␝', '␞', '␟'), '', g2), ' ', g1, ' ', g0), '␟', '␞') AS mould
 FROM (
   SELECT *, p0 AS word, next IS NULL AS last, CASE WHEN next IS NULL OR next IN ('␝', '␞') THEN 2 WHEN next = '␟' THEN 1 ELSE 0 END AS follows, p1 = '␞' AND p2 NOT IN ('␞', '␟') AS first_of_line
   FROM (
-    SELECT output_id, verse, inline(arrays_zip(slice(c, 1, n), slice(c, 2, n), slice(c, 3, n), slice(c, 4, n), slice(c, 5, n), slice(c, 6, n), slice(c, 7, n), slice(h, 2, n), slice(h, 3, n), slice(h, 4, n))) AS (p5, p4, p3, p2, p1, p0, next, g2, g1, g0)
-    FROM (SELECT output_id, verse, size(c) AS n, concat(array('', '', '', '', ''), c) AS c, concat(array('', '', ''), h) AS h FROM @tokens@)
+    SELECT output_id, verse, written, inline(arrays_zip(slice(c, 1, n), slice(c, 2, n), slice(c, 3, n), slice(c, 4, n), slice(c, 5, n), slice(c, 6, n), slice(c, 7, n), slice(h, 2, n), slice(h, 3, n), slice(h, 4, n))) AS (p5, p4, p3, p2, p1, p0, next, g2, g1, g0)
+    FROM (SELECT output_id, verse, written, size(c) AS n, concat(array('', '', '', '', ''), c) AS c, concat(array('', '', ''), h) AS h FROM @tokens@)
   )
   WHERE p0 NOT IN ('␝', '␞', '␟')
 )
@@ -77,7 +77,7 @@ FROM (
     element_at(split(bare, '\n'), -1) RLIKE r'^\s*([-*•+]|[0-9]+[.)])(\s|$)' AS listed
   FROM @texts@ WHERE NOT closed
 ) t
-LEFT JOIN (SELECT w.*, element_at(k.t, -1) AS written FROM (SELECT * FROM @words@ WHERE last) w JOIN (SELECT output_id, t FROM @tokens@) k USING (output_id)) w USING (output_id)
+LEFT JOIN (SELECT * FROM @words@ WHERE last) w USING (output_id)
 LEFT JOIN (SELECT len, count(*) AS n, count_if(NOT closed) AS open FROM @texts@ WHERE sentences GROUP BY len) l USING (len)
 WHERE NOT (shut AND fences % 2 = 0) AND NOT counted
 """
