@@ -24,11 +24,15 @@ ship_by_value(__name__)
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-DEFAULT = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Pieces of more bytes are contracted by a heap over the same merge table: the rows of the recursion grow as the square of a piece's length.
-LONG = 192
+#: Folder of the tokenizer files, and the one that is used where no path is given.
+FOLDER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+DEFAULT = f"{FOLDER}/byte_bpe_50k.tiktoken"
+#: Pieces of more bytes are contracted by a heap over the same merge table: the rows of the recursion grow as the square of the length of a piece, about a second and 130 MB at this length.
+LONG = 4_000
 #: Pieces whose ids a Python worker keeps between batches.
 KEEP = 400_000
+#: Squares of the lengths of pieces that one recursive query takes, in sum.
+BATCH = 8_000_000
 
 
 def python_pattern() -> regex.Pattern:
@@ -86,7 +90,7 @@ class PieceEncoder:
         self.ranks = ranks
         self.known: dict[str, np.ndarray] = {}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False, "temp_directory": ""})
         t = merge_table(ranks) if merges is None else merges  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM t")
 
@@ -105,8 +109,15 @@ class PieceEncoder:
             else:
                 open_.append(p)
                 raw.append(b)
-        for k in range(0, len(open_), 20_000):
-            self.recurse(open_[k : k + 20_000], raw[k : k + 20_000])
+        # The recursion makes about half the square of a piece's length in rows; a batch makes a bounded number, in memory alone.
+        at = weight = 0
+        for k, b in enumerate(raw):
+            if weight and weight + len(b) ** 2 > BATCH:
+                self.recurse(open_[at:k], raw[at:k])
+                at, weight = k, 0
+            weight += len(b) ** 2
+        if open_:
+            self.recurse(open_[at:], raw[at:])
 
     def recurse(self, pieces: list[str], raw: list[bytes]) -> None:
         size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
