@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodecast.llm import leakage, mixture, pairs, reading, textstats, tokens, truncation, variety
+from lodecast.llm import bpe, leakage, mixture, pairs, reading, textstats, tokens, truncation, variety
 from lodecast.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,7 +81,77 @@ placed AS (
 ), sample AS (SELECT mix_name, example_id, source, length_bin FROM placed WHERE hit AND nth <= keep OR NOT hit AND r - nth <= lack)
 """
 
+def encoded_sql(texts: str, path: str = bpe.DEFAULT) -> str:
+    """CTEs for WITH RECURSIVE: parts (id, pieces) of a table of (id, text), and coded (piece, ids), by the ranks in the tokenizer's file.
+
+    DuckDB's patterns look ahead of nothing: runs of white space are cut before their last character where something else
+    follows, by a letter of private use.
+    """
+    split = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{bpe.SPACE}\p{{L}}\p{{N}}]+|[{bpe.SPACE}]+".replace("'", "''")
+    return rf"""vocab AS MATERIALIZED (SELECT from_base64(t) AS b, r FROM read_csv('{path}', delim = ' ', header = false, quote = '', escape = '', columns = {{'t': 'VARCHAR', 'r': 'INTEGER'}})),
+merges AS MATERIALIZED (
+  SELECT a.r AS l, c.r AS r, v.r AS m FROM (SELECT b, r, unnest(generate_series(1, octet_length(b) - 1)) AS k FROM vocab WHERE octet_length(b) > 1) v
+  JOIN vocab a ON a.b = v.b[1:k] JOIN vocab c ON c.b = v.b[k + 1:]
+), parts AS MATERIALIZED (
+  SELECT id, flatten(list_transform(string_split(regexp_replace(text, '([{bpe.SPACE}]+)([{bpe.SPACE}][^{bpe.SPACE}])', '\1' || chr(63743) || '\2', 'g'), chr(63743)), lambda p: regexp_extract_all(p, '{split}'))) AS pieces FROM {texts}
+), words AS MATERIALIZED (SELECT p AS piece, row_number() OVER () AS word FROM (SELECT DISTINCT unnest(pieces) AS p FROM parts)),
+symbols AS (
+  SELECT word, k AS pos, v.r AS tok FROM (SELECT word, encode(piece) AS b, unnest(generate_series(0, octet_length(encode(piece)) - 1)) AS k FROM words) s JOIN vocab v ON v.b = s.b[k + 1:k + 1]
+), state(word, pos, tok, depth) AS (
+    SELECT word, pos, tok, 0 FROM symbols
+  UNION ALL
+    SELECT word, pos, CASE WHEN pos = best & 1048575 THEN (best >> 20)::INTEGER ELSE tok END, depth + 1
+    FROM (
+      SELECT p.word, p.pos, p.tok, p.before, p.depth, min((m.m::BIGINT << 20) | p.pos) OVER (PARTITION BY p.word) AS best
+      FROM (SELECT word, pos, tok, depth, lead(tok) OVER w AS behind, lag(pos) OVER w AS before FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)) p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.behind
+    ) WHERE best IS NOT NULL AND before IS DISTINCT FROM best & 1048575
+), ended AS (SELECT word, max(depth) AS depth FROM state GROUP BY word),
+coded AS MATERIALIZED (SELECT piece, list(tok ORDER BY pos) AS ids FROM state JOIN ended USING (word, depth) JOIN words USING (word) GROUP BY piece)"""
+
+
+_NAME = "translate(lower(trim({0})), '_ ', '--')"
+_RECORD_TEXTS = """(
+  SELECT row_number() OVER () AS n, example_id, token_count, source, lang, CASE WHEN messages IS NOT NULL THEN list_transform(messages, lambda m: coalesce(m.content, '')) ELSE [coalesce(text, '')] END AS texts FROM records
+)"""
+_COUNTED = """placed AS (SELECT id, unnest(pieces) AS piece FROM parts), counted AS (SELECT id, sum(len(ids))::BIGINT AS n_tokens FROM placed JOIN coded USING (piece) GROUP BY id)"""
+
+# All pairs of bags of words, those that differ in at most a fifth, and what is reached from each record over any number of steps.
+_SIMILAR = r"""
+WITH RECURSIVE texts AS (
+  SELECT DISTINCT example_id, lower(coalesce(text, array_to_string(list_transform(messages, lambda m: coalesce(m.content, '')), chr(10)))) AS text FROM records WHERE example_id IS NOT NULL
+), bags AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, example_id, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN regexp_extract_all(text, '[\p{L}\p{N}]+') ELSE list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') END AS words FROM texts WHERE text IS NOT NULL
+), rows AS MATERIALIZED (SELECT n, w, row_number() OVER (PARTITION BY n, w) AS k FROM (SELECT n, unnest(words) AS w FROM bags)),
+shared AS (SELECT a.n AS a, b.n AS b, count(*) AS c FROM rows a JOIN rows b ON a.w = b.w AND a.k = b.k AND a.n < b.n GROUP BY ALL),
+pairs AS MATERIALIZED (
+  SELECT x.example_id AS a, y.example_id AS b FROM shared s JOIN bags x ON x.n = s.a JOIN bags y ON y.n = s.b
+  WHERE greatest(len(x.words), len(y.words)) - c <= 0.2::DOUBLE * greatest(len(x.words), len(y.words)) AND x.example_id <> y.example_id
+), both_ways AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reached(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reached r JOIN both_ways w ON w.a = r.b),
+least AS (SELECT b AS example_id, least(min(a), b) AS head FROM reached GROUP BY b)
+SELECT head AS example_id_a, example_id AS example_id_b FROM least WHERE head <> example_id"""
+
 ORACLES: dict[str, str] = {
+    "p6_found": _SIMILAR,
+    "p7_ids": f"""WITH RECURSIVE {encoded_sql("(SELECT doc_id AS id, text FROM documents WHERE text <> '')")},
+placed AS (SELECT id, unnest(pieces) AS piece, unnest(generate_series(1, len(pieces))) AS k FROM parts)
+SELECT d.doc_id, coalesce(ids, []::INTEGER[]) AS ids FROM documents d LEFT JOIN (SELECT id, flatten(list(ids ORDER BY k)) AS ids FROM placed JOIN coded USING (piece) GROUP BY id) e ON e.id = d.doc_id""",
+    "p2_found": f"""WITH RECURSIVE r AS MATERIALIZED {_RECORD_TEXTS}, {encoded_sql("(SELECT n AS id, unnest(texts) AS text FROM r)")}, {_COUNTED}
+SELECT DISTINCT example_id FROM r LEFT JOIN counted ON id = n
+WHERE example_id IS NOT NULL AND (token_count IS NULL OR token_count <= 0 OR token_count < coalesce(n_tokens, 0) / 2.0::DOUBLE OR token_count > coalesce(n_tokens, 0) * 2.0::DOUBLE)""",
+    "p2_budget": f"""WITH RECURSIVE r AS MATERIALIZED (
+  SELECT n, 'records' AS corpus, {_NAME.format('source')} AS name, lower(trim(lang)) AS lang, texts FROM {_RECORD_TEXTS}
+  UNION ALL SELECT -row_number() OVER (), 'documents', {_NAME.format('source')}, lower(trim(lang)), [coalesce(text, '')] FROM documents
+), {encoded_sql("(SELECT n AS id, unnest(texts) AS text FROM r)")}, {_COUNTED},
+totals AS (SELECT corpus, name, lang, count(*) AS texts, sum(coalesce(n_tokens, 0))::BIGINT AS tokens FROM r LEFT JOIN counted ON id = n GROUP BY ALL),
+known AS (SELECT DISTINCT {_NAME.format('source')} AS known FROM source_info WHERE source IS NOT NULL),
+near AS (
+  SELECT name, arg_min(known, (levenshtein(name, known), known)) AS known FROM (SELECT DISTINCT name FROM totals WHERE name IS NOT NULL AND name NOT IN (SELECT known FROM known)), known
+  WHERE (left(name, 4) = left(known, 4) OR right(name, 4) = right(known, 4)) AND abs(length(name) - length(known)) <= 1 AND levenshtein(name, known) <= 2 GROUP BY name
+), info AS (SELECT {_NAME.format('source')} AS source, any_value(domain_name) AS domain, any_value(lower(default_lang)) AS default_lang FROM source_info WHERE source IS NOT NULL GROUP BY 1),
+fixed AS (SELECT t.*, coalesce(near.known, t.name) AS source FROM totals t LEFT JOIN near USING (name))
+SELECT corpus, coalesce(f.source, 'unknown') AS source, coalesce(lang, default_lang, 'unknown') AS lang, coalesce(domain, 'unknown') AS domain, sum(texts)::BIGINT AS texts, sum(tokens)::BIGINT AS tokens
+FROM fixed f LEFT JOIN info i ON i.source = f.source GROUP BY 1, 2, 3, 4""",
     "p4_sample": f"{_MIX} SELECT * FROM sample",
     "p4_report": f"""{_MIX}, counted AS (SELECT mix_name, source, length_bin, count(*) AS selected FROM sample GROUP BY ALL)
 SELECT mix_name, source, length_bin, available, round(wanted, 9) AS wanted, min_rows, drawn, coalesce(selected, 0) AS selected,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,35 +102,35 @@ def measures(text: str, lang: str, cache: dict[tuple[str, str], int]) -> tuple[f
     length of a sentence is not known: missing punctuation makes no text harder. Names (capitalised words
     inside a sentence, but for German) don't count for the length of words.
     """
-    parts = [p for p in _SENTENCE.split(text) if _WORD.search(p)]
-    words = _WORD.findall(text)
-    if len(words) < LEAST_WORDS:
+    parts = [w for p in _SENTENCE.split(text) if (w := _WORD.findall(p))]
+    total = sum(map(len, parts))
+    if total < LEAST_WORDS:
         return None
-    per = len(words) / max(1, len(parts))
+    per = total / max(1, len(parts))
     if per > 45:
         lines = [x for x in text.splitlines() if _WORD.search(x)]
-        per = len(words) / max(1, len(lines))
+        per = total / max(1, len(lines))
         if per > 45:
             per = float("nan")
-    n = s = letters = many = long = 0
+    counts: Counter[str] = Counter()
     for p in parts:
-        for k, w in enumerate(_WORD.findall(p)):
-            if k and lang != "de" and w[0].isupper() and w[1:].islower():
-                continue
-            low = w.lower()
-            if (lang, low) not in cache:
-                if len(cache) > 300_000:
-                    cache.clear()
-                cache[lang, low] = syllables(low, lang)
-            c = cache[lang, low]
-            n += 1
-            s += c
-            letters += len(low)
-            many += c >= 3
-            long += len(low) > 6
+        counts.update(p if lang == "de" else [p[0], *[w for w in p[1:] if not (w[0].isupper() and w[1:].islower())]])
+    n = s = letters = many = long = 0
+    for w, k in counts.items():
+        low = w.lower()
+        if (lang, low) not in cache:
+            if len(cache) > 300_000:
+                cache.clear()
+            cache[lang, low] = syllables(low, lang)
+        c = cache[lang, low]
+        n += k
+        s += k * c
+        letters += k * len(low)
+        many += k * (c >= 3)
+        long += k * (len(low) > 6)
     if n < LEAST_WORDS // 2:
         return None
-    return (float(len(words)), per, s / n, letters / n, many / n, long / n)
+    return (float(total), per, s / n, letters / n, many / n, long / n)
 
 
 #: The estimates, in their order: those combined where the length of sentences is known, and those of words alone.

@@ -153,19 +153,20 @@ def further_language(words: list[str], least: float = 0.18, margin: float = 1.25
     total = sum(counts.values())
     if total < 6:
         return None
-    scores: dict[str, float] = {}
-    for k, held in _WIDE.items():
-        mine = counts.keys() & held
-        if k not in _SETS and (len(mine) < 4 or sum(counts[w] for w in mine) < least * total):
-            continue
-        grams, score = _GRAMS[k], 0.0
-        for w, n in counts.items():
-            score += n if w in held else n / 3 * sum(f" {w} "[i : i + 3] in grams for i in range(len(w))) / len(w)
-        scores[k] = score
-    best = max((k for k in scores if k not in _SETS), key=lambda k: (scores[k], k), default=None)
-    if best is None or scores[best] < margin * max(scores[k] for k in _SETS):
+    likely = []
+    for k in FURTHER_WORDS:
+        mine = counts.keys() & _WIDE[k]
+        if len(mine) >= 4 and sum(counts[w] for w in mine) >= least * total:
+            likely.append(k)
+    if not likely:
         return None
-    return best
+
+    def score(k: str) -> float:
+        held, grams = _WIDE[k], _GRAMS[k]
+        return sum(n if w in held else n / 3 * sum(f" {w} "[i : i + 3] in grams for i in range(len(w))) / len(w) for w, n in counts.items())
+
+    best = max(likely, key=lambda k: (score(k), k))
+    return best if score(best) >= margin * max(map(score, _SETS)) else None
 
 
 def named_languages(text: str | None) -> set[str]:
