@@ -70,18 +70,17 @@ def paired_items(rows: DataFrame, base: str, treatment: str) -> DataFrame:
 def bootstrap(paired: DataFrame, replicates: int) -> DataFrame:
     """metric, n, mean, low, high: mean difference and the 2.5 and 97.5 percentiles of resampled means.
 
-    The k-th draw of a replicate is the item at index hash(replicate, k) mod n, so that results are the same everywhere.
-    Each replicate's draws are joined with the indexed items by a broadcast of the items, which are one per evaluation
-    item, and summed where they are made.
+    The k-th draw of a replicate is the item at index hash(replicate, k) mod n, items in order of their ids, so that results
+    are the same everywhere. The differences of a metric, one for each evaluation item, are one array; each replicate sums
+    its draws out of it, so that no draw becomes a row and nothing is joined.
     """
-    w = Window.partitionBy("metric")
-    items = paired.withColumn("i", F.row_number().over(w.orderBy("example_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    sizes = items.groupBy("metric").agg(F.first("n").alias("n"), F.avg("difference").alias("mean"))
-    draws = sizes.select("metric", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("k", F.explode(F.expr("sequence(0, cast(n as int) - 1)")))
-    index = F.expr("cast(pmod(cast(conv(substring(md5(concat(rep, ':', k)), 1, 8), 16, 10) as bigint), n) as int)")
-    means = draws.withColumn("i", index).join(F.broadcast(items.select("metric", "i", "difference")), ["metric", "i"]).groupBy("metric", "rep").agg(F.avg("difference").alias("m"))
-    bounds = means.groupBy("metric").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return sizes.join(bounds, "metric")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("example_id", "difference"))), lambda x: x["difference"])
+    sizes = paired.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("difference").alias("mean"), items.alias("items"))
+    each = sizes.select("metric", "n", "mean", "items", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    each = each.repartition(each.sparkSession.sparkContext.defaultParallelism, "metric", "rep")
+    total = F.expr("aggregate(sequence(0, cast(n as int) - 1), 0D, (a, k) -> a + get(items, cast(pmod(cast(conv(substring(md5(concat(rep, ':', k)), 1, 8), 16, 10) as bigint), n) as int)))")
+    means = each.select("metric", "n", "mean", (total / F.col("n")).alias("m"))
+    return means.groupBy("metric", "n", "mean").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
 def sign_counts(rows: DataFrame, base: str, treatment: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodecast.functions.text import priority
 from lodecast.operators.ranks import filled
-from lodecast.runtime import ship_by_value
+from lodecast.runtime import broadcast_small, ship_by_value
 
 ship_by_value(__name__)
 
@@ -36,7 +36,7 @@ def sample_groups(df: DataFrame, group: str, ident: str, counts: DataFrame, seed
     most = counts.agg(F.max("taken")).first()[0] or 0
     w = Window.partitionBy(group).orderBy(priority(seed, F.col(ident)), ident)
     first = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
-    return first.join(F.broadcast(counts), group).where(F.col("_n") <= F.col("taken")).drop("_n", "taken")
+    return first.join(broadcast_small(counts), group).where(F.col("_n") <= F.col("taken")).drop("_n", "taken")
 
 
 def equal_per_group(df: DataFrame, group: str, ident: str, k: int, seed: int) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
 import tempfile
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -34,7 +37,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; on a local master without it a temporary one, which is deleted at the end."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known:
@@ -44,6 +47,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lodecast-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
@@ -54,11 +58,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, marked to be broadcast where it has no more than `rows` rows, which are few columns of categories; else left to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ship_by_value(module: str) -> None:
     """Pickles the functions of a module with their code, so that executors need no copy of this package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def smoke_folder() -> str:
+    return os.environ.get("SMOKE_SF_DIR", "/root/testdata/sf0.001")
+
+
 def bench_folder() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 
