@@ -13,8 +13,8 @@ from lodecast.runtime import cut_lineage, ship_by_value
 
 ship_by_value(__name__)
 
-#: Pieces whose lengths are broadcast: the most frequent ones. At about 30 bytes a row this is at most 15 MB; rarer pieces are joined by a shuffle.
-HOT_PIECES = 400_000
+#: Pieces whose lengths are broadcast: the most frequent ones of HOT_LETTERS letters at most, so that no more than 70 MB are, about 15 MB of usual text; all others are joined by a shuffle.
+HOT_PIECES, HOT_LETTERS = 400_000, 40
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = bpe.DEFAULT) -> DataFrame:
@@ -90,9 +90,10 @@ def token_counts(df: DataFrame, split: Column, keep: list[str], tokenizer: str =
     rows = numbered.select("_row", *keep, F.explode_outer("_split").alias("piece"))
     lengths = cut_lineage(piece_lengths(rows.select("piece"), tokenizer))
     total = F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_tokens")
-    if lengths.count() <= hot:
+    pieces_, longest = lengths.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("piece")), F.lit(0))).first()
+    if pieces_ <= hot and longest <= HOT_LETTERS:
         return rows.join(F.broadcast(lengths.select("piece", "n")), "piece", "left").groupBy("_row", *keep).agg(total).drop("_row")
-    often = cut_lineage(lengths.orderBy(F.desc("rows"), "piece").limit(hot).select("piece", "n"))
+    often = cut_lineage(lengths.where(F.length("piece") <= HOT_LETTERS).orderBy(F.desc("rows"), "piece").limit(hot).select("piece", "n"))
     first = rows.join(F.broadcast(often), "piece", "left")
     rest = first.where("n IS NULL AND piece IS NOT NULL").groupBy("_row", *keep, "piece").agg(F.count(F.lit(1)).alias("times"))
     rest = rest.join(lengths.join(F.broadcast(often.select("piece")), "piece", "left_anti").select("piece", "n"), "piece").select("_row", *keep, (F.col("times") * F.col("n")).alias("n"))
