@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
+import statistics
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,18 +95,23 @@ def length_autocorrelation(lines: list[str]) -> float:
     """Evenness of line lengths with the lengths of the lines before: 1 for equal lines, about 0 for prose."""
     if len(lines) < 4:
         return 0.0
-    n = np.array([len(x) for x in lines], dtype=float)
-    spread = n.std() / max(1.0, n.mean())
+    n = [len(x) for x in lines]
+    mean = sum(n) / len(n)
+    off = [x - mean for x in n]
+    var = sum(x * x for x in off) / len(n)
+    spread = var**0.5 / max(1.0, mean)
     if spread < 1e-9:
         return 1.0
-    a, b = n[:-1] - n.mean(), n[1:] - n.mean()
-    return float(max(-1.0, min(1.0, (a * b).sum() / max(1e-9, (n - n.mean()).var() * len(a)))) * 0.5 + max(0.0, 1 - 2 * spread) * 0.5)
+    along = sum(x * y for x, y in zip(off, off[1:], strict=False)) / max(1e-9, var * (len(n) - 1))
+    return max(-1.0, min(1.0, along)) * 0.5 + max(0.0, 1 - 2 * spread) * 0.5
 
 
 def even_lines(lines: list[str], even: float) -> bool:
     """Whether line lengths are regular by their autocorrelation, or nearly equal, where the autocorrelation is that of small differences."""
+    if even >= 0.3 or even <= 0 or len(lines) < 4:
+        return even >= 0.3
     n = [len(x) for x in lines]
-    return even >= 0.3 or even > 0 and len(n) >= 4 and float(np.std(n)) <= 0.1 * float(np.mean(n))
+    return statistics.pstdev(n) <= 0.1 * statistics.fmean(n)
 
 
 def strung(lines: list[str], body: str) -> tuple[list[str], str]:

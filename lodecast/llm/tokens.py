@@ -13,8 +13,8 @@ from lodecast.runtime import cut_lineage, ship_by_value
 
 ship_by_value(__name__)
 
-#: Pieces whose lengths are broadcast: the most frequent ones of HOT_LETTERS letters at most, so that no more than 70 MB are, about 15 MB of usual text; all others are joined by a shuffle.
-HOT_PIECES, HOT_LETTERS = 400_000, 40
+#: Pieces whose lengths are broadcast: all where they are no more than HOT_PIECES and HOT_BYTES, else the most frequent ones of HOT_LETTERS letters at most; all others are joined by a shuffle.
+HOT_PIECES, HOT_LETTERS, HOT_BYTES = 400_000, 40, 32_000_000
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = bpe.DEFAULT) -> DataFrame:
@@ -90,8 +90,8 @@ def token_counts(df: DataFrame, split: Column, keep: list[str], tokenizer: str =
     rows = numbered.select("_row", *keep, F.explode_outer("_split").alias("piece"))
     lengths = cut_lineage(piece_lengths(rows.select("piece"), tokenizer))
     total = F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_tokens")
-    pieces_, longest = lengths.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("piece")), F.lit(0))).first()
-    if pieces_ <= hot and longest <= HOT_LETTERS:
+    distinct, size = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()
+    if distinct <= hot and size <= HOT_BYTES:
         return rows.join(F.broadcast(lengths.select("piece", "n")), "piece", "left").groupBy("_row", *keep).agg(total).drop("_row")
     often = cut_lineage(lengths.where(F.length("piece") <= HOT_LETTERS).orderBy(F.desc("rows"), "piece").limit(hot).select("piece", "n"))
     first = rows.join(F.broadcast(often), "piece", "left")
