@@ -126,3 +126,9 @@ def summary(manifest: DataFrame, target: int) -> DataFrame:
     """n_rows, actual_tokens, target_tokens, exact of a manifest; one row."""
     total = F.coalesce(F.sum("token_count"), F.lit(0)).cast("bigint")
     return manifest.agg(F.count(F.lit(1)).alias("n_rows"), total.alias("actual_tokens"), F.lit(target).cast("bigint").alias("target_tokens"), (total == target).alias("exact"))
+
+
+def replaced(chosen: DataFrame, removed: DataFrame, added: DataFrame, ident: str) -> DataFrame:
+    """The chosen rows without those whose id is removed, and the added rows; a row that is added again counts once."""
+    kept = chosen.join(removed.select(ident), ident, "left_anti").select(*chosen.columns)
+    return kept.unionByName(added.join(kept.select(ident), ident, "left_anti").select(*chosen.columns))

@@ -258,4 +258,26 @@ ORACLES["candidate_votes_train"] = f"""WITH sides AS (SELECT DISTINCT example_id
 UNION ALL SELECT benchmark || '/' || example_id, true, {_norm('prompt')} FROM eval_items), {_VOTES}"""
 _POOL = f"""{CANON}, named AS (SELECT *, sha256(to_json(list_transform(ms, lambda m: {{'content': m.content, 'role': m.role}}))::VARCHAR) AS example_id FROM valid),
 pool AS (SELECT example_id, arg_min({{'source': source, 'source_row': source_row, 'tokens': tokens, 'ms': ms}}, (source, source_row)) AS b FROM named GROUP BY 1)"""
+_SCORED = f"""{_POOL}, flat AS (
+  SELECT example_id, b.source AS source, b.source_row AS source_row, b.tokens AS token_count, array_to_string(list_transform(b.ms, lambda m: m.content), ' ') AS spaced, array_to_string(list_transform(b.ms, lambda m: m.content), chr(10)) AS text,
+    array_to_string(list_transform(list_filter(b.ms, lambda m: m.role = 'assistant'), lambda m: m.content), ' ') AS said,
+    CASE WHEN b.tokens < 256 THEN '0-255' WHEN b.tokens < 512 THEN '256-511' WHEN b.tokens < 1024 THEN '512-1023' WHEN b.tokens < 1536 THEN '1024-1535' ELSE '1536-2048' END AS length_bin FROM pool
+), worded AS (SELECT *, source || '|' || length_bin AS stratum, regexp_extract_all(lower(spaced), '[A-Za-z]+') AS w, list_histogram(regexp_extract_all(lower(spaced), '[A-Za-z]+')) AS h FROM flat),
+rated AS MATERIALIZED (SELECT example_id, source, source_row, stratum, length_bin, token_count, text, round(
+  0.25::DOUBLE * (0.5::DOUBLE * least(1.0::DOUBLE, len(list_filter(w, lambda x: x IN {STOP})) / 4.0::DOUBLE) + 0.5::DOUBLE * least(1.0::DOUBLE, {_count('spaced', '[A-Za-z]')}::DOUBLE / greatest(1, {_count('spaced', _SOLID)})))
+  + 0.25::DOUBLE * least(1.0::DOUBLE, {_count('said', _WORDS)} / 80.0::DOUBLE) + 0.2::DOUBLE * CASE WHEN token_count BETWEEN 32 AND 1536 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END
+  + 0.2::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - coalesce(list_sum(list_transform(list_filter(map_values(h), lambda c: c > 3), lambda c: c - 1)), 0)::DOUBLE / greatest(1, len(w)))
+  + 0.1::DOUBLE * CASE WHEN contains(spaced, chr(0)) OR {_run('spaced', 10)} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END, 6) AS quality_score FROM worded),
+kept_rows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY substr(sha256('0:' || example_id), 1, 16), example_id) AS _n FROM rated) WHERE _n <= 1000)"""
+ORACLES["canonical_pool"] = f"WITH {_SCORED} SELECT example_id, source, length_bin, token_count::INT AS token_count, quality_score, text FROM kept_rows"
+ORACLES["select_before_top_up"] = f"""WITH RECURSIVE {_SCORED}, totals AS (SELECT stratum, sum(token_count)::HUGEINT AS t FROM rated GROUP BY 1),
+shares AS (SELECT stratum, (40000 * t) // (SELECT sum(t) FROM totals)::HUGEINT AS f, (40000 * t) % (SELECT sum(t) FROM totals)::HUGEINT AS r FROM totals),
+quotas AS (SELECT stratum, (f + CASE WHEN row_number() OVER (ORDER BY r DESC, stratum) <= 40000 - sum(f) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM shares),
+ordered AS MATERIALIZED (SELECT stratum, example_id, token_count, quota, row_number() OVER (PARTITION BY stratum ORDER BY quality_score DESC, substr(sha256(example_id), 1, 16), example_id) AS p FROM kept_rows JOIN quotas USING (stratum) WHERE quality_score >= 0.55),
+pass1 AS (
+  SELECT stratum, 0::BIGINT AS p, 0::BIGINT AS total, NULL::BIGINT AS token_count, false AS took FROM quotas
+  UNION ALL SELECT o.stratum, o.p, CASE WHEN s.total + o.token_count <= o.quota THEN s.total + o.token_count ELSE s.total END, o.token_count, s.total + o.token_count <= o.quota FROM pass1 s JOIN ordered o ON o.stratum = s.stratum AND o.p = s.p + 1
+), ended AS (SELECT stratum, max(total) AS total FROM pass1 GROUP BY stratum),
+rest AS (SELECT o.stratum, o.token_count, o.quota, e.total + sum(o.token_count) OVER (PARTITION BY o.stratum ORDER BY o.token_count, substr(sha256(o.example_id), 1, 16), o.example_id) AS reached FROM ordered o JOIN ended e USING (stratum) JOIN pass1 s ON s.stratum = o.stratum AND s.p = o.p WHERE NOT s.took)
+SELECT stratum, count(*) AS n_rows, sum(token_count)::BIGINT AS n_tokens FROM (SELECT stratum, token_count FROM pass1 WHERE took UNION ALL SELECT stratum, token_count FROM rest WHERE reached <= quota) GROUP BY 1"""
 ORACLES["select_totals"] = f"WITH {_POOL} SELECT k.strategy, least(40000, sum(b.tokens))::BIGINT AS actual_tokens, 40000::BIGINT AS target_tokens, sum(b.tokens) >= 40000 AS exact FROM pool, (VALUES ('random'), ('quality'), ('diversity')) k(strategy) GROUP BY k.strategy"

@@ -110,6 +110,12 @@ def test_diversity_order(spark):
     assert selection.ordered(df, "quality", 1, floor=0.85).where("stratum = 'st'").count() == 6
 
 
+def test_replaced(spark):
+    rows = lambda ids: spark.createDataFrame([(i, i * 2) for i in ids], "i int, v int")
+    got = selection.replaced(rows([1, 2, 3]), rows([2]), rows([3, 4]), "i").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2), (3, 6), (4, 8)]
+
+
 def test_plugins(spark):
     plugins.register(plugins.TOKENS, "letters", F.length)
     rows = conversations(spark, 6)
