@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodecast.llm.systematic import random_start, ranked
 from lodecast.llm.tokens import source_name
 from lodecast.operators.ranks import filled
-from lodecast.runtime import cut_lineage
+from lodecast.runtime import broadcast_small, cut_lineage
 
 CATEGORY = ["source", "length_bin"]
 
@@ -33,7 +33,7 @@ def category_plan(usable: DataFrame, mix: DataFrame) -> DataFrame:
     rows = mix.select("mix_name", source_name(F.col("source")).alias("source"), "length_bin", "target_share", "min_rows", "sample_share").distinct()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return (
-        rows.join(F.broadcast(have), CATEGORY, "left")
+        rows.join(broadcast_small(have), CATEGORY, "left")
         .crossJoin(F.broadcast(everything))
         .select(
             "mix_name", *CATEGORY, zero("available").cast("bigint").alias("available"),
@@ -96,7 +96,7 @@ def mixture_sample(records: DataFrame, mix: DataFrame, seed: int = 0) -> tuple[D
     plan = filled(plan, ["mix_name"], CATEGORY, "more", "need", "further")
     plan = cut_lineage(plan.withColumn("keep", F.col("drawn") - F.col("given") - F.col("further")))
     order_rows = ranked(usable, CATEGORY, seed, "example_id", usable.count())
-    placed = order_rows.join(F.broadcast(plan.where("p > 0 OR lack > 0")), CATEGORY)
+    placed = order_rows.join(broadcast_small(plan.where("p > 0 OR lack > 0")), CATEGORY)
     hit = edge(F.col("_rank")) > edge(F.col("_rank") - 1)
     # The n-th drawn record of a category is the one that crosses its n-th integer; undrawn ones are numbered by what is left.
     nth = edge(F.col("_rank")) - edge(F.lit(0))

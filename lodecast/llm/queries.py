@@ -109,6 +109,67 @@ symbols AS (
 coded AS MATERIALIZED (SELECT piece, list(tok ORDER BY pos) AS ids FROM state JOIN ended USING (word, depth) JOIN words USING (word) GROUP BY piece)"""
 
 
+def cut_sql() -> str:
+    """CTEs up to found (output_id): the rules of truncation in a plain form, by windows over one row a token, without hashes, prefilters or shifted arrays."""
+    t = truncation
+    q = lambda x: x.replace("'", "''")
+    L = q(t.LETTERS)
+    closed, mark, bare = q(t.CLOSED), q(t.MARK), q(t.BARE)
+    return rf"""
+WITH texts AS MATERIALIZED (
+  SELECT output_id, length(response) AS len, regexp_matches(response, '[\s\x0b]$') AS trails, bare, bare <> body AS marked, regexp_matches(bare, '{closed}') AS closed,
+    regexp_matches(bare, '[.!?。！？।؟][\"”’'')]*([\s\x0b]|$)|[。।]') AS sentences, contains(bare, chr(10)) AS lines
+  FROM (SELECT output_id, response, body, regexp_replace(body, '{mark}', '') AS bare FROM (
+    SELECT DISTINCT output_id, response, regexp_replace(response, '[\s\x0b​ ]+$', '') AS body FROM eval_outputs WHERE response IS NOT NULL AND output_id IS NOT NULL) WHERE body <> '')
+), toks AS (
+  SELECT output_id, NOT sentences AND lines AS verse, list_transform(list_filter(string_split(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(chr(10) || bare, '␝␞␟⊔⊓', ''),
+      '\n[ \t]*(?:[-*•+]|\d+[.)])[ \t]+', ' ␝ ', 'g'), '\n|(?:…|\.\.\.)[.!?。！？।؟…]*', ' ␞ ', 'g'), '[0-9]+(?:[.,][0-9]+)+', ' 0 ', 'g'), '[.!?。！？।؟]+', ' ␟ ', 'g'), '[^{L}␝␞␟]+', ' ', 'g'), ' '), lambda x: x <> ''),
+    lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' ELSE x END) AS t FROM texts
+), rows AS (
+  SELECT output_id, verse, k, lower(x) AS c, x AS written, CASE WHEN length(x) >= 4 AND regexp_matches(x, '^\p{{Lu}}') THEN '⊔' WHEN length(x) >= 4 THEN '⊓' ELSE lower(x) END AS h
+  FROM (SELECT output_id, verse, unnest(t) AS x, unnest(generate_series(1, len(t))) AS k FROM toks)
+), beside AS (
+  SELECT *, coalesce(lag(c, 1) OVER w, '') AS p1, coalesce(lag(c, 2) OVER w, '') AS p2, coalesce(lag(c, 3) OVER w, '') AS p3, coalesce(lag(c, 4) OVER w, '') AS p4, coalesce(lag(c, 5) OVER w, '') AS p5, lead(c) OVER w AS nx,
+    coalesce(lag(h, 1) OVER w, '') AS g1, coalesce(lag(h, 2) OVER w, '') AS g2 FROM rows WINDOW w AS (PARTITION BY output_id ORDER BY k)
+), words AS MATERIALIZED (
+  SELECT output_id, nx IS NULL AS last, c AS word, written, CASE WHEN nx IS NULL OR nx IN ('␝', '␞') THEN 2 WHEN nx = '␟' THEN 1 ELSE 0 END AS follows, p1 = '␞' AND p2 NOT IN ('␞', '␟') AS first_of_line,
+    translate(CASE WHEN p1 IN ('␝', '␞', '␟') THEN '' ELSE p2 END || ' ' || p1 || ' ', '␟', '␞') AS ahead, translate(p3 || ' ' || p2 || ' ' || p1, '␟', '␞') AS before,
+    translate(CASE WHEN '␝' IN (p1, p2, p3, p4, p5) THEN 'L' WHEN verse THEN 'V' ELSE 'P' END || ' ' || CASE WHEN p1 IN ('␝', '␞', '␟') THEN '' ELSE g2 END || ' ' || g1 || ' ' || h, '␟', '␞') AS mould
+  FROM beside WHERE c NOT IN ('␝', '␞', '␟')
+), t3 AS (SELECT ahead, word, count(*) AS n, count(*) FILTER (follows = 2) AS o, count(*) FILTER (follows > 0) AS e FROM words GROUP BY ALL),
+b3 AS (SELECT before, count(*) AS n, count(*) FILTER (follows = 2) AS o, count(*) FILTER (follows > 0) AS e FROM words GROUP BY ALL),
+m3 AS (SELECT mould, count(*) AS n, count(*) FILTER (follows > 0) AS e FROM words GROUP BY ALL),
+w1 AS (SELECT word, count(*) FILTER (follows = 2) AS o, count(*) FILTER (NOT (last AND follows = 2)) AS inside FROM words GROUP BY ALL),
+limits AS (SELECT len, count(*) >= {t.LIMIT_TEXTS} AND count(*) FILTER (NOT closed) >= {t.LIMIT_SHARE} * count(*) AS limited FROM texts WHERE sentences GROUP BY len),
+ends AS (
+  SELECT x.*, w.word, w.ahead, w.before, w.mould, w.first_of_line, w.written, coalesce(l.limited, false) AS limited FROM (
+    SELECT *, regexp_matches(bare, '^\s*[\[{{]') AS json, string_split(bare, chr(10))[-1] AS last_line,
+      length(replace(bare, '{{', '')) <> length(replace(bare, '}}', '')) OR length(replace(bare, '[', '')) <> length(replace(bare, ']', '')) OR (length(bare) - length(replace(replace(bare, '\\"', '\\'), '"', ''))) % 2 = 1 AS unbalanced,
+      (length(bare) - length(replace(bare, '```', ''))) // 3 AS fences,
+      regexp_matches(bare, '[)*_`]$') AND length(replace(bare, '(', '')) = length(replace(bare, ')', '')) AND ((length(bare) - length(replace(bare, '**', ''))) // 2) % 2 = 0 AS shut,
+      regexp_matches(bare, '(^|\n)#+[ \t]*[-+]?[0-9][0-9,.]*$') AS counted FROM texts WHERE NOT closed
+  ) x LEFT JOIN (SELECT * FROM words WHERE last) w USING (output_id) LEFT JOIN limits l USING (len) WHERE NOT (shut AND fences % 2 = 0) AND NOT counted
+), longer AS (
+  SELECT DISTINCT e.ahead, e.word FROM ends e JOIN t3 own ON own.ahead = e.ahead AND own.word = e.word JOIN t3 c ON c.ahead = e.ahead AND length(c.word) > length(e.word) AND starts_with(c.word, e.word) AND c.n > own.n
+), facts AS (
+  SELECT e.*, coalesce(t.n, 1) - 1 AS tn, (coalesce(t.o, 1) - 1) / nullif(coalesce(t.n, 1) - 1, 0) AS t_open, (coalesce(t.e, 1) - 1) / nullif(coalesce(t.n, 1) - 1, 0) AS t_any,
+    coalesce(b.n, 1) - 1 AS bn, (coalesce(b.o, 1) - 1) / nullif(coalesce(b.n, 1) - 1, 0) AS b_open, (coalesce(b.e, 1) - 1) / nullif(coalesce(b.n, 1) - 1, 0) AS b_any,
+    coalesce(m.n, 1) - 1 AS mn, (coalesce(m.e, 1) - 1) / nullif(coalesce(m.n, 1) - 1, 0) AS m_any, (coalesce(w.inside, 0) > 0 OR e.word = '0') AND p.word IS NULL AS known, coalesce(w.o, 0) AS w_open,
+    regexp_matches(last_line, '{bare}') AS single, regexp_matches(last_line, '^\s*([-*•+]|[0-9]+[.)])(\s|$)') AS listed
+  FROM ends e LEFT JOIN t3 t ON t.ahead = e.ahead AND t.word = e.word LEFT JOIN b3 b ON b.before = e.before LEFT JOIN m3 m ON m.mould = e.mould LEFT JOIN w1 w ON w.word = e.word LEFT JOIN longer p ON p.ahead = e.ahead AND p.word = e.word
+), found AS (SELECT DISTINCT output_id FROM facts WHERE CASE
+  WHEN json THEN unbalanced WHEN fences > 0 THEN fences % 2 = 1 WHEN word IS NULL THEN false
+  WHEN single THEN NOT known AND NOT shut AND regexp_matches(word, '^[A-Za-z]{{2,}}$') AND NOT first_of_line
+  WHEN starts_with(word, '#') THEN w_open < 3
+  WHEN listed OR NOT sentences AND lines THEN NOT known OR CASE WHEN mn >= 3 THEN m_any < 0.2 WHEN tn >= 5 THEN t_any < 0.2 ELSE false END
+  WHEN NOT sentences AND NOT marked AND known AND length(bare) - length(replace(bare, ' ', '')) <= 2 AND regexp_matches(written, '^\p{{Lu}}') THEN false
+  WHEN NOT known THEN NOT coalesce(bn >= 2 AND (b_open >= 0.5 OR b_open >= 0.02 AND b_any >= 0.9) AND (tn >= 5 OR regexp_matches(written, '^\p{{Lu}}') AND first_of_line), false)
+  WHEN bn >= 2 AND (b_open >= 0.5 OR b_open >= 0.02 AND b_any >= 0.9) THEN false
+  WHEN tn >= 1 THEN t_open < 0.5 AND (coalesce(t_any, 0) < 0.3 OR bn < 2 OR b_any < 0.4 OR marked OR trails OR limited)
+  WHEN bn >= 1 THEN b_open < 0.5 ELSE mn < 50 OR m_any < 0.6 END)"""
+
+
 _NAME = "translate(lower(trim({0})), '_ ', '--')"
 _RECORD_TEXTS = """(
   SELECT row_number() OVER () AS n, example_id, token_count, source, lang, CASE WHEN messages IS NOT NULL THEN list_transform(messages, lambda m: coalesce(m.content, '')) ELSE [coalesce(text, '')] END AS texts FROM records
@@ -132,6 +193,9 @@ least AS (SELECT b AS example_id, least(min(a), b) AS head FROM reached GROUP BY
 SELECT head AS example_id_a, example_id AS example_id_b FROM least WHERE head <> example_id"""
 
 ORACLES: dict[str, str] = {
+    "p3_found": f"{cut_sql()} SELECT output_id FROM found",
+    "p3_shares": f"""{cut_sql()} SELECT adapter, benchmark, count(*) AS responses, count(f.output_id) AS cut, round(count(f.output_id) / count(*), 9) AS share
+FROM (SELECT DISTINCT output_id, adapter, benchmark FROM eval_outputs WHERE output_id IS NOT NULL AND response IS NOT NULL AND trim(response) <> '') r LEFT JOIN found f USING (output_id) GROUP BY adapter, benchmark""",
     "p6_found": _SIMILAR,
     "p7_ids": f"""WITH RECURSIVE {encoded_sql("(SELECT doc_id AS id, text FROM documents WHERE text <> '')")},
 placed AS (SELECT id, unnest(pieces) AS piece, unnest(generate_series(1, len(pieces))) AS k FROM parts)
