@@ -281,3 +281,4 @@ pass1 AS (
 rest AS (SELECT o.stratum, o.token_count, o.quota, e.total + sum(o.token_count) OVER (PARTITION BY o.stratum ORDER BY o.token_count, substr(sha256(o.example_id), 1, 16), o.example_id) AS reached FROM ordered o JOIN ended e USING (stratum) JOIN pass1 s ON s.stratum = o.stratum AND s.p = o.p WHERE NOT s.took)
 SELECT stratum, count(*) AS n_rows, sum(token_count)::BIGINT AS n_tokens FROM (SELECT stratum, token_count FROM pass1 WHERE took UNION ALL SELECT stratum, token_count FROM rest WHERE reached <= quota) GROUP BY 1"""
 ORACLES["select_totals"] = f"WITH {_POOL} SELECT k.strategy, least(40000, sum(b.tokens))::BIGINT AS actual_tokens, 40000::BIGINT AS target_tokens, sum(b.tokens) >= 40000 AS exact FROM pool, (VALUES ('random'), ('quality'), ('diversity')) k(strategy) GROUP BY k.strategy"
+ORACLES["doc_quality_all"] = ORACLES["doc_quality"]
