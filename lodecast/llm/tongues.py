@@ -76,8 +76,15 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _OTHER = re.compile(r"[\u0370-\u1dff\u2e80-\ua7ff\ua800-\ufaff]")
 
 
+#: The last text whose words, and whose shares, were asked for, and the answers: several operators ask for the same text in turn.
+_WORDS_OF: list = [None, None]
+_SHARES_OF: list = [None, 0, 0, None]
+
+
 def letters_only(text: str) -> list[str]:
-    return _WORD.findall(text.lower().replace("’", "'"))
+    if _WORDS_OF[0] is not text:
+        _WORDS_OF[:] = text, _WORD.findall(text.lower().replace("’", "'"))
+    return _WORDS_OF[1]
 
 
 def latin_hits(words: list[str]) -> dict[str, float]:
@@ -94,8 +101,10 @@ def latin_hits(words: list[str]) -> dict[str, float]:
 
 def word_shares(text: str, words: list[str] | None = None) -> tuple[int, dict[str, float]]:
     """Number of words, and words by language: of other scripts all words, of Latin letters the function words."""
-    found: dict[str, float] = {}
     words = letters_only(text) if words is None else words
+    if _SHARES_OF[0] is text and _SHARES_OF[1] == len(words):
+        return _SHARES_OF[2], dict(_SHARES_OF[3])
+    found: dict[str, float] = {}
     total = float(len(words))
     if _OTHER.search(text):
         total = sum(1.0 for w in words if w[0] < "\u0370")
@@ -108,7 +117,8 @@ def word_shares(text: str, words: list[str] | None = None) -> tuple[int, dict[st
             found["ja"] += found.pop("zh", 0)
     for k, v in latin_hits(words).items():
         found[k] = found.get(k, 0) + v
-    return int(total), found
+    _SHARES_OF[:] = text, len(words), int(total), found
+    return int(total), dict(found)
 
 
 def main_language(text: str | None, least: float = 0.08, words: list[str] | None = None) -> str | None:
