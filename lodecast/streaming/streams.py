@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodecast.functions.text import priority
-from lodecast.runtime import checkpoint_folder
+from lodecast.runtime import checkpoint_folder, ship_by_value
+
+ship_by_value(__name__)
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
@@ -86,3 +90,17 @@ def resumable_output(stream: DataFrame, path: str, checkpoint: str):
 def not_done(inputs: DataFrame, done: DataFrame, ident: str) -> DataFrame:
     """Inputs without stored output."""
     return inputs.join(done.select(ident), ident, "left_anti")
+
+
+def in_batches(df: DataFrame, size: int, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What function gives for the rows of df, a stream or a table, in batches of at most `size` rows, as tokenizers and models take them.
+
+    Batches are cut out of the Arrow batches in which rows reach Python; no more than one of those is held. Empty tables call nothing.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), size):
+                yield function(b.iloc[k : k + size])
+
+    return df.mapInPandas(run, schema)

@@ -320,6 +320,12 @@ def test_streams(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/out").count() == 9
 
 
+def test_in_batches(spark):
+    got = streams.in_batches(spark.range(0, 300, 1, 1), 128, lambda b: b.assign(n=len(b)), "id bigint, n bigint").collect()
+    assert sorted(r.id for r in got) == list(range(300)) and {r.n for r in got} == {128, 44}
+    assert streams.in_batches(spark.range(0), 128, lambda b: b, "id bigint").count() == 0
+
+
 def test_every_query_runs(spark, tiny):
     for name in ("select_quality", "select_before_top_up", "canonical_pool", "near_overlap_late", "near_overlap", "exact_fit", "coverage_greedy"):
         assert registry.QUERIES[name](spark, tiny).schema.names
