@@ -11,9 +11,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_right
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -24,7 +25,7 @@ from lodecast.runtime import ship_by_value, worker_cache
 
 ship_by_value(__name__)
 
-#: A run of words that more items than this hold says little: it counts for an item only beside a rarer run of that item.
+#: A run of words that more items than this hold says little: one alone is not looked at, but an item of which enough of them are there for a passage is aligned like any other.
 RARE = 4
 #: Words of items in one automaton; more items are scanned in several passes. An automaton of this size takes about 250 MB.
 BLOCK_WORDS = 400_000
@@ -189,6 +190,84 @@ class Part:
     def __init__(self, items: Items, at: list[int]):
         self.seed = items.seed
         self.keys, self.words, self.masked, self.loose, self.same = ([x[i] for i in at] for x in (items.keys, items.words, items.masked, items.loose, items.same))
+        self.asked: dict[tuple[int, int, int], tuple[int, int]] = {}
+        self.firm: dict[int, list[int]] = {}
+
+    def asks(self, i: int, least: int, per_edit: int) -> tuple[int, int]:
+        """The words of an item that a passage needs, and how many of its runs at least stand there."""
+        known = self.asked.get((i, least, per_edit))
+        if known is None:
+            n = len(self.words[i])
+            # An item of fewer words that count must stand there with all of them.
+            need = min(least, n - sum(self.masked[i]))
+            # A passage of so many words with one edit in per_edit leaves this many of its runs untouched; a longer one may leave fewer, just where it may have one more edit.
+            fewest = min(k - self.seed * (k // per_edit) - self.seed + 1 for k in range(need, need + per_edit + 1))
+            known = self.asked[i, least, per_edit] = need, max(1, fewest)
+        return known
+
+    def near(self, i: int, where: list[tuple[int, int]], doc: list[str], least: int, per_edit: int) -> bool:
+        """Whether hits (doc word, item word) of an item may belong to a passage of it in doc.
+
+        Without edits the runs of a passage lie on one diagonal. With edits only words that are not loose count: the passage
+        can be parted so that each part has fewer than twice as many of them as are needed; as one edit in per_edit holds
+        for the whole, it holds for one of the parts, and its words stand near the diagonal of its first hit.
+        """
+        need, fewest = self.asks(i, least, per_edit)
+        item, masked, loose = self.words[i], self.masked[i], self.loose[i]
+        on: dict[int, list[int]] = defaultdict(list)
+        for d, k in where:
+            on[d - k].append(k)
+        for at in on.values():
+            if len(at) >= need - self.seed:
+                at.sort()
+                row = 1
+                for k, m in zip(at, at[1:]):
+                    row = row + 1 if m == k + 1 or all(masked[k + 1 : m + self.seed - 1]) else 1
+                    if row >= need - self.seed:
+                        return True
+        if len(where) < fewest:
+            return False
+        if i not in self.firm:
+            self.firm[i] = [k for k, x in enumerate(loose) if not x]
+        firm = self.firm[i]
+        where.sort()
+        for x in range(len(where) - fewest + 1):
+            d, k = where[x]
+            u = bisect_left(firm, k)
+            lo = firm[u - 2 * need] + 1 if u >= 2 * need else 0
+            hi = firm[u + 2 * need] if u + 2 * need < len(firm) else len(item)
+            # Words of the part, at most, and its edits.
+            size = min(hi - lo, 2 * need - 1 + sum(loose[lo:hi]))
+            drift = size // (per_edit - 1)
+            held = {k}
+            for e, m in where[x + 1 :]:
+                if e - d > size + drift:
+                    break
+                if k <= m < hi and abs(e - m - d + k) <= drift:
+                    held.add(m)
+            if len(held) < fewest:
+                continue
+            if per_edit > self.seed and not any(masked[lo:hi]):
+                # So few runs whole, a part is no longer than this; before its first whole run, edits stand close.
+                most = (len(held) + self.seed - 1) * per_edit // (per_edit - self.seed)
+                lo, hi = max(lo, k - self.seed * (most // per_edit) - self.seed + 1), min(hi, k + most)
+            if hi - lo - sum(loose[lo:hi]) < need - 1:
+                continue
+            there = [(at := m + d - k) + drift >= 0 and item[m] in doc[max(0, at - drift) : at + drift + 1] for m in range(lo, hi)]
+            if sum(there) < (need - 1) * (per_edit - 1) // per_edit:
+                continue
+            # Of the words of a part at most one in per_edit is not there: the longest stretches of which this holds start at a least sum so far.
+            sums, counted, least_at = [0], [0], [0]
+            for ok, light in zip(there, loose[lo:hi], strict=True):
+                sums.append(sums[-1] + (1 if ok else 1 - per_edit))
+                counted.append(counted[-1] + (not light))
+                if sums[-1] < sums[least_at[-1]]:
+                    least_at.append(len(sums) - 1)
+            for end in range(hi - lo, 0, -1):
+                while least_at and sums[end] >= sums[least_at[-1]]:
+                    if counted[end] - counted[least_at.pop()] >= need - 1:
+                        return True
+        return False
 
     def automaton(self):
         import ahocorasick
@@ -284,23 +363,31 @@ def scan(text: str, items: Part, auto, least: int, per_edit: int) -> Iterator[tu
     if not words:
         return
     hits = list(auto.iter(" " + " ".join(words) + " "))
-    told = frozenset().union(*[few for _, (_, _, few) in hits])
-    if not told:
+    told = set().union(*[few for _, (_, _, few) in hits])
+    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    # Common runs alone tell of an item too, where as many of them stand together as a passage leaves untouched.
+    common = Counter(chain.from_iterable([x for _, (_, x, few) in hits if len(few) < len(x)]))
+    likely = {i for i, n in common.items() if i not in told and n >= items.asks(i, least, per_edit)[1]}
+    if not told and not likely:
         return
     starts, p = {}, 0
     for k, w in enumerate(words):
         starts[p] = k
         p += len(w) + 1
-    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    looked = told | likely
     for end, (size, by_item, _) in hits:
         d = starts[end - size + 1]
-        for i in told & by_item.keys() if len(by_item) > len(told) else [i for i in by_item if i in told]:
+        for i in looked & by_item.keys() if len(by_item) > len(looked) else [i for i in by_item if i in looked]:
             found[i] += [(d, k) for k in by_item[i]]
+    for i in likely:
+        if not items.near(i, found[i], words, least, per_edit):
+            del found[i]
+    if not found:
+        return
     passages = []
     for i, where in found.items():
         item, masked = items.words[i], items.masked[i]
-        # An item of fewer words that count must stand there with all of them.
-        need = min(least, len(item) - sum(masked))
+        need, fewest = items.asks(i, least, per_edit)
         slack = len(item) // per_edit + 2
         where.sort(key=lambda x: (x[0] - x[1], x[0]))
         # Hits of one occurrence lie near one diagonal; each such group is aligned by itself.
@@ -312,8 +399,6 @@ def scan(text: str, items: Part, auto, least: int, per_edit: int) -> Iterator[tu
             group.append(x)
         groups.append(group)
         best = None
-        # A passage of n words with n / per_edit edits leaves this many of its runs untouched.
-        fewest = max(1, min(len(item), need) - (items.seed * (min(len(item), need) // per_edit)) - items.seed + 1)
         for g in groups:
             if len({k for _, k in g}) < fewest:
                 continue

@@ -41,6 +41,18 @@ def test_items_without_rare_runs(spark):
     assert (1, "i0") in got
 
 
+def test_passage_of_common_runs_of_an_item_with_rare_ones(spark):
+    # Each run of the passage stands in six other items, never beside the next one; the rest of its item is its own.
+    passage = rnd.sample(WORDS, 12)
+    items = [("b", "own", " ".join([*(f"own{k}" for k in range(15)), *passage]), None)]
+    for j in range(6):
+        apart = [[*passage[k : k + 3], f"f{j}x{k}", f"g{j}x{k}"] for k in range(10)]
+        items.append(("b", f"other{j}", " ".join(w for part in apart for w in part), None))
+    changed = [*passage[:5], "new", *passage[6:]]
+    docs = [(1, f"intro {' '.join(passage)} end"), (2, f"intro {' '.join(passage[:9])} end"), (3, f"{items[1][2]} and no more"), (4, f"intro {' '.join(changed)} end")]
+    assert found(spark, docs, items) == {(1, "own"), (3, "other0"), (4, "own")}
+
+
 def test_markup_of_any_length(spark):
     part = LONG.split()[:20]
     half = lambda mark: " ".join(part[:10]) + mark + " ".join(part[10:])
