@@ -333,3 +333,37 @@ def test_every_query_runs(spark, tiny):
 
 def test_blank(spark):
     assert value(spark, T.is_blank(F.lit("\x1f  "))) and not value(spark, T.is_blank(F.lit(" a")))
+
+
+def test_near_overlap_aligns_only_what_may_reach_the_ratio():
+    import difflib
+    import random
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(40)]
+    base = " ".join(rnd.choices(words, k=60))
+    texts = [" ".join(rnd.sample(base.split(), 60)) for _ in range(12)] + [base[:200] + "x" + base[201:], base + " ende"]
+    at = contamination.letter_places(base)
+    for x in [*texts, "", "abc", base]:
+        match = difflib.SequenceMatcher(None, base, x, autojunk=False)
+        row = [0] * (len(x) + 1)
+        for c in base:
+            last = 0
+            for j, d in enumerate(x, 1):
+                last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
+        assert contamination.longest_common(at, len(base), x) == row[-1] >= sum(b.size for b in match.get_matching_blocks())
+
+
+def test_near_overlap_of_shuffled_texts_is_quick(spark):
+    # Same words in another order: letters and runs allow the ratio, the order doesn't; aligning all 900 pairs takes minutes.
+    import random
+    import time
+
+    rnd = random.Random(4)
+    base = ["".join(rnd.choices("abcdefghij", k=7)) for _ in range(110)]
+    rows = [" ".join(rnd.sample(base, 110)) for _ in range(60)]
+    train = spark.createDataFrame([(k, x) for k, x in enumerate(rows[:30])] + [(99, rows[40].replace("a", "b", 2))], "train_id int, norm string")
+    evaluation = spark.createDataFrame([(k, x) for k, x in enumerate(rows) if k >= 30], "eval_id int, norm string")
+    began = time.time()
+    assert [(r.train_id, r.eval_id) for r in contamination.near_overlap(train, evaluation).collect()] == [(99, 40)]
+    assert time.time() - began < 30
